@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from . import simhash
+from . import bpe, simhash, token_counts
 
-MODULES = (simhash,)
+MODULES = (bpe, token_counts, simhash)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

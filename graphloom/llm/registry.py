@@ -1,7 +1,22 @@
 """All queries of this subpackage and their SQL."""
 
-from . import bpe, simhash, token_counts
+from functools import wraps
 
-MODULES = (bpe, token_counts, simhash)
-QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+from graphloom.sources.ship import ship
+
+from . import bpe, mixing, simhash, token_counts
+
+MODULES = (bpe, token_counts, simhash, mixing)
+
+
+def _shipped(f):
+    @wraps(f)
+    def query(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _shipped(f) for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -190,7 +190,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path(VOCABULARY)
     base = docs.drop(*({out} - {text}))
     schema = T.StructType([*(f for f in base.schema.fields if f.name != out and (keep_text or f.name != text)), T.StructField(out, T.ArrayType(T.IntegerType(), False))])
-    kept, at = [f.name for f in schema.fields[:-1]], base.columns.index(text)
+    names, at = schema.names, base.columns.index(text)
+    kept = [base.columns.index(c) for c in names[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker(path, pattern)
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 ids = [known.text(x.as_py()) if x.is_valid else b"" for x in batch.column(at)]
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "i4")), type=pa.list_(pa.field("element", pa.int32(), False)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(base.columns.index(c)) for c in kept), lists], names=[*kept, out])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), lists], names=names)
 
     return base.mapInArrow(run, schema)
 

@@ -4,9 +4,9 @@ from functools import wraps
 
 from graphloom.sources.ship import ship
 
-from . import bpe, mixing, simhash, token_counts
+from . import bpe, mixing, simhash, token_counts, warc
 
-MODULES = (bpe, token_counts, simhash, mixing)
+MODULES = (bpe, token_counts, warc, simhash, mixing)
 
 
 def _shipped(f):

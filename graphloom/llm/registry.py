@@ -4,9 +4,9 @@ from functools import wraps
 
 from graphloom.sources.ship import ship
 
-from . import bpe, mixing, simhash, token_counts, warc
+from . import bpe, cap_filters, mixing, simhash, token_counts, warc
 
-MODULES = (bpe, token_counts, warc, simhash, mixing)
+MODULES = (bpe, cap_filters, token_counts, warc, simhash, mixing)
 
 
 def _shipped(f):

@@ -4,9 +4,9 @@ from functools import wraps
 
 from graphloom.sources.ship import ship
 
-from . import bpe, cap_filters, mixing, pii, simhash, token_counts, warc
+from . import bpe, cap_filters, mixing, pii, simhash, token_counts, toxicity, warc
 
-MODULES = (bpe, cap_filters, token_counts, warc, simhash, pii, mixing)
+MODULES = (toxicity, bpe, cap_filters, token_counts, warc, simhash, pii, mixing)
 
 
 def _shipped(f):

@@ -4,9 +4,9 @@ from functools import wraps
 
 from graphloom.sources.ship import ship
 
-from . import bpe, cap_filters, collision_ann, mixing, pii, simhash, token_counts, toxicity, warc
+from . import bpe, bwt_dedup, cap_filters, collision_ann, mixing, pii, simhash, token_counts, toxicity, warc
 
-MODULES = (toxicity, bpe, cap_filters, token_counts, warc, collision_ann, simhash, pii, mixing)
+MODULES = (toxicity, bpe, cap_filters, token_counts, warc, collision_ann, bwt_dedup, simhash, pii, mixing)
 
 
 def _shipped(f):

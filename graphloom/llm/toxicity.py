@@ -34,7 +34,7 @@ from .common import cut, table
 #: The chain: category, label column, and the label's value that means it.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 MOST_ROWS, MOST_FEATURES, LEAST_CHI2, LEAST_DOCS, FOLDS, THRESHOLD = 6_000, 1_000, 24.0, 4, 3, 0.5
-STARTS = range(3, 8)
+STARTS, HELD = range(3, 8), 150_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -148,14 +148,22 @@ def train(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple] = CHAIN, mo
     sample = cut(known.join(F.broadcast(cut(chosen)), "doc_id").select("doc_id", "text", F.array(*names).alias("y")))  # the sample's bound is the broadcast's
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
+        seen: Counter = Counter()
+
+        def flushed():
+            rows = list(seen.items())
+            seen.clear()
+            for at in range(0, len(rows), 50_000):
+                (pairs, n) = zip(*rows[at : at + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([f for _, f in pairs]), pa.array([y for y, _ in pairs]), pa.array(n, pa.int64())], ["word", "y", "n"])
+
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault("".join(map(str, y)), Counter()).update(features(text))
-        rows = [(w, y, n) for y, own in seen.items() for w, n in own.items()]
-        for at in range(0, len(rows), 50_000):
-            w, y, n = zip(*rows[at : at + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(y), pa.array(n, pa.int64())], ["word", "y", "n"])
+                label = "".join(map(str, y))
+                seen.update((label, f) for f in features(text))
+                if len(seen) > HELD:  # partial counts are summed after the shuffle; a task holds no more than these
+                    yield from flushed()
+        yield from flushed()
 
     total = {r.y: r["count"] for r in sample.select(F.array_join(F.col("y").cast("array<string>"), "").alias("y")).groupBy("y").count().collect()}
     size = sum(total.values())

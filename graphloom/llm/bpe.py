@@ -36,7 +36,7 @@ from .pretokens import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of a worker's caches; a full one is emptied. Pre-tokens over LONG characters are not kept.
-CHUNKS, PIECES, PAIRS, LONG = 150_000, 100_000, 150_000, 64
+CHUNKS, PIECES, PAIRS, LONG = 250_000, 200_000, 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

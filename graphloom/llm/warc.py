@@ -155,7 +155,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
                 first = last
 
-    at = index.select("file", "offset", "length", F.floor(F.col("offset") / (4 * SPAN)).alias("part")).repartition("file", "part").sortWithinPartitions("file", "offset")
+    # index rows are small beside what they stand for, so the number of tasks follows the bytes to read
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // SPAN))
+    at = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("part")).repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
     return at.select("file", "offset", "length").mapInArrow(run, RECORD)
 
 

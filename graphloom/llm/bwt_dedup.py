@@ -35,11 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import table
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text that a bucket stands for; of runs that a task gathers before it sends them; symbols of a shard; end of a string (no byte of UTF-8).
-BUCKET, FLUSH, SHARD, END = 16 << 20, 32 << 20, 1 << 20, 0xFF
+BUCKET, FLUSH, SHARD, END = 4 << 20, 32 << 20, 1 << 20, 0xFF
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -98,13 +98,19 @@ def _send(found, names) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], names)
 
 
+def _parted(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and place in it of each minimizer. Buckets are as many as the text asks for, so 32 bits tell nearly all in one apart;
+    those that agree are only looked at together."""
+    return (h % np.uint64(buckets)).astype("i4"), (h // np.uint64(buckets)).astype("u4")
+
+
 def _hashes(width: int, buckets: int):
-    """(bucket, data) of (doc_id, copy, text): the distinct minimizers of each document."""
+    """(bucket, data) of (doc_id, text): the distinct minimizers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, rows = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.unique(minimizers(text.as_buffer().to_pybytes(), width)) if text.is_valid and len(text.as_buffer() or b"") >= width else ()
                 if len(h):
                     held.append(h)
@@ -118,29 +124,30 @@ def _hashes(width: int, buckets: int):
 
     def _flush(held, docs):
         h, doc = np.concatenate(held), np.repeat(np.array(docs, "i8"), [len(x) for x in held])
-        yield from _send(_blobs((h % np.uint64(buckets)).astype("i4"), [h, doc]), ["bucket", "data"])
+        bucket, rest = _parted(h, buckets)
+        yield from _send(_blobs(bucket, [rest, doc]), ["bucket", "data"])
 
     return run
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """The packed rows of each bucket; the input is sorted by bucket."""
     now, held = None, []
     for batch in batches:
         for k, d in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if k != now and held:
-                yield held
+                yield now, held
                 held = []
             now = k
             held.append(d.as_buffer().to_pybytes())
     if held:
-        yield held
+        yield now, held
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, data): the minimizers of each document that another document has too, from one bucket."""
-    for rows in _bucket_rows(batches):
-        parts = [_unpacked(r, "u8", "i8") for r in rows]
+    for bucket, rows in _bucket_rows(batches):
+        parts = [_unpacked(r, "u4", "i8") for r in rows]
         h, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
@@ -151,9 +158,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
+        head = np.array([bucket], "u4").tobytes()
         for at in range(0, len(edges) - 1, 5000):
             own = edges[at : at + 5001]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([head + h[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["doc_id", "data"])
 
 
 def _runs(width: int, buckets: int):
@@ -165,14 +173,17 @@ def _runs(width: int, buckets: int):
         for batch in batches:
             for doc, copy, z, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 text = unzip.decompress(z.as_buffer().to_pybytes())
-                known = np.unique(np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in found.values), "u8"))
+                parts = [np.frombuffer(x.as_buffer(), "u4").astype("u8") for x in found.values]
+                known = np.sort(np.concatenate([(p[0] << np.uint64(32)) | p[1:] for p in parts]))
                 h = minimizers(text, width)
-                edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-                place = np.minimum(np.searchsorted(known, h[edges[:-1]]), len(known) - 1)
-                use = np.flatnonzero(known[place] == h[edges[:-1]])
+                edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(1, int)
+                bucket, rest = _parted(h[edges[:-1]], buckets)
+                own = (bucket.astype("u8") << np.uint64(32)) | rest
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                use = np.flatnonzero(known[place] == own)
                 first, last = edges[:-1][use], edges[1:][use]
                 texts += [text[a : b + width - 1] for a, b in zip(first.tolist(), last.tolist())]
-                rows.append((h[first], np.full(len(use), doc), np.full(len(use), copy), first, last - first + width - 1))
+                rows.append((bucket[use], rest[use], np.full(len(use), doc), np.full(len(use), copy), first, last - first + width - 1))
                 size += int((last - first).sum()) + 90 * len(use)
                 if size > FLUSH:
                     yield from _flush(rows, texts)
@@ -181,16 +192,14 @@ def _runs(width: int, buckets: int):
             yield from _flush(rows, texts)
 
     def _flush(rows, texts):
-        h, doc, copy, first, size = (np.concatenate(x) for x in zip(*rows, strict=True))
-        bucket = (h % np.uint64(buckets)).astype("i4")
-        rest = (h // np.uint64(buckets)).astype("u4")  # within a bucket; unlike minimizers that agree in it are only sorted together
+        bucket, rest, doc, copy, first, size = (np.concatenate(x) for x in zip(*rows, strict=True))
         yield from _send(_blobs(bucket, [rest, doc.astype("i8"), copy.astype("i8"), first.astype("u4"), size.astype("u4")], texts), ["bucket", "data"])
 
     return run
 
 
 class Shard:
-    """Strings, each closed by END: their suffixes in order, the symbol before each, and the LF map."""
+    """Strings, each closed by END: their suffixes in order (of the first ``deep`` symbols at least), the symbol before each, and the LF map."""
 
     def __init__(self, text: np.ndarray, deep: int):
         n = len(text)
@@ -201,36 +210,46 @@ class Shard:
             symbol = padded[k : k + n]
             key = (key << np.uint64(8)) | np.where(open_, symbol, 0).astype("u8")
             open_ &= symbol != END
-        rank, size = self._ranks(key, open_), 8
-        while size < deep:
-            # suffixes that have ended are alone in their rank already; the order is never finer than it must be
-            after = np.concatenate([rank[size:], np.zeros(min(size, n), "i8")])[:n]
-            alone = np.bincount(rank, minlength=n)[rank] == 1
-            key = (rank.astype("u8") << np.uint64(32)) | np.where(alone, 0, after).astype("u8")
-            rank, size = self._ranks(key, np.ones(n, bool)), 2 * size
-        self.order = np.argsort(rank, kind="stable")
+        self.order = np.argsort(key).astype("i4")
+        sorted_ = key[self.order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]] | ~open_[self.order]  # suffixes that have ended are alone
+        first = np.flatnonzero(new)
+        rank = np.empty(n, "i4")  # the place of the first suffix that is equal so far
+        rank[self.order] = np.repeat(first, np.diff(np.r_[first, n]))
+        many = np.repeat(np.diff(np.r_[first, n]) > 1, np.diff(np.r_[first, n]))
+        size, left = 8, self.order[many]
+        del key, sorted_, new, first, many, open_
+        while size < deep and len(left):
+            # doubling: the rank of what follows orders those that are still together, in their own places
+            key = (rank[left].astype("u8") << np.uint64(32)) | rank[left + size].astype("u8")
+            by = np.argsort(key)
+            left, key = left[by], key[by]
+            old = (key >> np.uint64(32)).astype("i8")
+            start_old = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
+            in_old = np.arange(len(left)) - np.repeat(start_old, np.diff(np.r_[start_old, len(left)]))
+            self.order[old + in_old] = left
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            length = np.diff(np.r_[start, len(left)])
+            rank[left] = np.repeat((old + in_old)[start], length)
+            left, size = left[np.repeat(length > 1, length)], 2 * size
         self.before = text[self.order - 1]  # of the first suffix: the last END
-        self.lf = np.empty(n, "i8")
-        self.lf[np.argsort(self.before, kind="stable")] = np.arange(n)
-
-    @staticmethod
-    def _ranks(key: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """Ranks by key; equal keys share one if ``shared``, else they go by place."""
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.r_[True, k[1:] != k[:-1]] | ~shared[order]
-        rank = np.empty(len(key), "i8")
-        rank[order] = np.cumsum(new) - 1
-        return rank
-
-
-def intervals(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, block): the rows (numbered through all shards) that share their first ``width`` symbols with another row, by block."""
+        place = np.empty(n, "i4")
+        place[self.order] = np.arange(n, dtype="i4")
+        self.lf = place[self.order - 1]  # the row of the suffix one symbol longer
+
+
+def intervals(shards: list[Shard], width: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, block): the rows (numbered through all shards) that share their first ``width`` symbols with another row, by block.
+
+    ends: whether a row is ``width`` or more symbols inside its string, where a window can end. A window's row comes from the row of its
+    end, one symbol further left each round, so the rounds need no other rows.
+    """
     offsets = np.cumsum([0, *(len(s.order) for s in shards)])
     before = np.concatenate([s.before for s in shards])
-    lf = np.concatenate([s.lf + o for s, o in zip(shards, offsets)])
-    rows = np.arange(offsets[-1])  # the interleave: the shards one after another
-    block = np.zeros(len(rows), "i8")
+    lf = np.concatenate([s.lf + np.int32(o) for s, o in zip(shards, offsets)])
+    rows = np.arange(offsets[-1], dtype="i4")  # the interleave: the shards one after another
+    rows = rows if ends is None else rows[ends]
+    block = np.zeros(len(rows), "i4")
     for _ in range(width):
         symbol = before[rows]
         order = np.argsort(symbol, kind="stable")
@@ -240,7 +259,7 @@ def intervals(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
             break
         new = np.r_[True, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])]  # where the common prefix ends
         keep = ~(new & np.r_[new[1:], True])  # a block of one row is a prefix that nothing shares
-        block, rows = (np.cumsum(new) - 1)[keep], rows[keep]
+        block, rows = np.cumsum(new, dtype="i4")[keep], rows[keep]
     return rows, block
 
 
@@ -248,7 +267,7 @@ def _judged(width: int):
     """(doc_id, copy, first, last) of windows that also start in a document with a smaller doc_id, from whole buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed in _bucket_rows(batches):
+        for _, packed in _bucket_rows(batches):
             number: dict[bytes, int] = {}
             strings, cols = [], []
             for data in packed:
@@ -283,10 +302,11 @@ def _judged(width: int):
                     text = np.frombuffer(b"".join([strings[i] + b"\xff" for i in held]), "u1")
                     shards.append(Shard(text, width + 1))
                     n = np.array([len(strings[i]) + 1 for i in held])
-                    number_of.append(np.repeat(held, n)[shards[-1].order])
-                    offset_of.append((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))[shards[-1].order])
+                    number_of.append(np.repeat(np.array(held, "i4"), n)[shards[-1].order])
+                    offset_of.append((np.arange(len(text), dtype="i4") - np.repeat((np.cumsum(n) - n).astype("i4"), n))[shards[-1].order])
+                    shards[-1].order = np.empty(len(text), "i1")  # not needed any more but for its length
                     held, total = [], 0
-            rows, block = intervals(shards, width)
+            rows, block = intervals(shards, width, np.concatenate(offset_of) >= width)
             if len(rows):
                 at = (base[np.concatenate(number_of)[rows]] + np.concatenate(offset_of)[rows])
                 start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -303,7 +323,7 @@ def _judged(width: int):
                     new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
                     lo, hi = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
                     r = row[lo] + a
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(copy[r]), pa.array(first[r] + place[lo]), pa.array(first[r] + place[hi])], ["doc_id", "copy", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(copy[r]), pa.array(first[r] + place[lo], pa.int32()), pa.array(first[r] + place[hi], pa.int32())], ["doc_id", "copy", "first", "last"])
 
     return run
 
@@ -317,21 +337,22 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame, width: int = WIDTH, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, found): texts(doc_id, copy, text as binary) of all rows, and found(doc_id, copy, spans) with the runs of repeated windows (first, last) of those that have any."""
+    """(texts, found): texts(doc_id, copy, z) of all rows, z compressed, and found(doc_id, spans) with the runs of repeated windows (copy, first, last) of those that have any."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    # unlike texts with one doc_id are told apart by their hash
-    shared = cut(base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("shared")))
-    texts = base.join(shared, "doc_id", "left").select("doc_id", F.when(F.col("shared").isNotNull(), F.xxhash64("text")).otherwise(0).alias("copy"), "text")
-    usable = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(32, -(-total // BUCKET))
+    # unlike texts with one doc_id are told apart by their hash; texts move once, compressed, for both joins
+    texts = base.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    zipped = texts.mapInArrow(_zipped, "doc_id long, copy long, z binary")
+    named = zipped.where("doc_id IS NOT NULL")  # alike in both joins, so that one exchange serves both
+    usable = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     bucketed = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     hashes = bucketed(usable.mapInArrow(_hashes(width, buckets), "bucket int, data binary"))
     repeated = hashes.mapInArrow(_repeated, "doc_id long, data binary").groupBy("doc_id").agg(F.collect_list("data").alias("found"))
-    flagged = usable.mapInArrow(_zipped, "doc_id long, copy long, z binary").join(repeated, "doc_id").select("doc_id", "copy", "z", "found")
+    flagged = named.join(repeated, "doc_id").select("doc_id", "copy", "z", "found")
     runs = bucketed(flagged.mapInArrow(_runs(width, buckets), "bucket int, data binary"))
-    found = runs.mapInArrow(_judged(width), "doc_id long, copy long, first long, last long")
-    return texts, written(found.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    found = runs.mapInArrow(_judged(width), "doc_id long, copy long, first int, last int")
+    return zipped, found.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "first", "last")).alias("spans"))
 
 
 def cut_out(text: bytes, windows: list, width: int) -> tuple[bytes, int, int]:
@@ -352,20 +373,22 @@ def cut_out(text: bytes, windows: list, width: int) -> tuple[bytes, int, int]:
 
 def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept is null where nothing was removed."""
-    texts, found = spans(docs, width, text)
+    zipped, found = spans(docs, width, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for z, own in zip(batch.column(2), batch.column(3), strict=True):
+            for copy, z, own in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 raw = unzip.decompress(z.as_buffer().to_pybytes())
-                kept, removed, runs = cut_out(raw, [(s["first"], s["last"]) for s in own.as_py()], width) if own.is_valid else (raw, 0, 0)
+                windows = [(s["first"], s["last"]) for s in own.as_py() if s["copy"] == copy] if own.is_valid else []
+                kept, removed, runs = cut_out(raw, windows, width)
                 out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept if removed else None))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = texts.mapInArrow(_zipped, "doc_id long, copy long, z binary").join(found, ["doc_id", "copy"], "left").select("doc_id", "copy", "z", "spans")
+    joined = zipped.where("doc_id IS NOT NULL").join(found, "doc_id", "left").select("doc_id", "copy", "z", "spans")
+    joined = joined.unionByName(zipped.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType)))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

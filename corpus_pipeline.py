@@ -3,13 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``:
 
 1. toxicity: documents that the classifier chain (trained on ``labels``) calls toxic go.
-2. SimHash near-dedup: of each group of near-duplicates (fingerprints of five-word shingles linked at 3 bits or fewer, and a
-   similarity of at least 0.8 with the kept document) the document with the smallest doc_id stays.
+2. near-dedup: in the order of doc_ids, a document goes if its five-word shingles have a similarity of at least 0.8 with a
+   document that stays. MinHash bands name the pairs to compare; each is counted over whole texts.
 3. PII: every span of personal data is replaced by its kind.
 4. mixing: documents appear as often, and as far, as the mix to target weights takes them.
 5. byte-level BPE: each text becomes token ids, which are decoded again to show that nothing is lost.
 
-Nulls and odd input are handled as each operator says: null texts are clean, empty and link among themselves; rows without
+Nulls and odd input are handled as each operator says: null texts are clean, empty and alike among themselves; rows without
 doc_id stay; an empty table gives an empty result. Columns besides those of ``documents`` pass through stages 1 to 4.
 """
 

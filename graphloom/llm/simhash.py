@@ -19,12 +19,13 @@ columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -34,6 +35,12 @@ from .common import Stars, components, cut, table, whole_runs
 SEED, BITS, SEGMENTS = 42, 64, 16
 #: Most fingerprints of one key that meet in one cell at once (twice that in a cell of two chunks).
 CELL = 2048
+#: MinHash bands of ``keep_one``: a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**8)**48 = 0.9998.
+BANDS, ROWS = 48, 8
+FLIPS, TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), "u8", endpoint=False)
+TIMES = TIMES | np.uint64(1)
+#: Parts of a hot value in the joins of ``keep_one``.
+SPREAD = 16
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -152,19 +159,120 @@ def _alike(shingle: int, similarity: float):
     return run
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 3) -> DataFrame:
-    """The rows of docs that stay when one document of each near-duplicate group is kept: the one with the smallest doc_id.
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band of a set of shingle hashes: ``ROWS`` minima under permutations, mixed with the band's number."""
+    if not len(hashes):
+        hashes = np.zeros(1, "u8")
+    least = np.array([((hashes ^ f) * t).min() for f, t in zip(FLIPS, TIMES, strict=True)], "u8").reshape(BANDS, ROWS)
+    keys = np.arange(1, BANDS + 1, dtype="u8")
+    for row in range(ROWS):
+        keys = (keys ^ least[:, row]) * TIMES[0]
+        keys ^= keys >> np.uint64(29)
+    return keys.view("i8")
 
-    Fingerprint links alone can join unlike texts, so another document goes only if it shares at least ``similarity`` of its
-    distinct word shingles (Jaccard over whole texts) with its group's kept document. Rows without doc_id stay. Repeated
-    doc_ids are one document: all its rows stay, or all go (it goes if any of its rows is alike the kept document).
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, x, size, keys) of every row with a doc_id: x is a digest of the words (equal words, equal x), size counts its shingles, keys are its bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() or b"" for x in batch.column(1)]
+            digests = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts]
+            sets = [shingles(t, shingle) for t in texts]
+            arrays = [pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "x", "size", "keys"])
+
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, x binary, size long, keys array<long>")
+
+
+def _salted(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined with the smaller right on a column of which left may have one hot value."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
+    return left.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SPREAD)).cast("int")).join(right.select("*", every), [on, "salt"], how).drop("salt")
+
+
+def _settled(rows: DataFrame, alike: DataFrame, waiting: DataFrame) -> DataFrame:
+    """rows(doc_id, x, kept) without the documents that are alike a smaller kept one, and with further documents marked kept.
+
+    A document is kept once it has no comparison to wait for and every smaller document alike it is gone.
+    """
+    while True:
+        of = rows.groupBy("x").agg(F.min("doc_id").alias("least"))
+        near = alike.join(of.withColumnRenamed("x", "y"), "y").select("x", "least").unionByName(of).groupBy("x").agg(F.min("least").alias("least"))
+        known = _salted(rows, near, "x").join(waiting.withColumn("waits", F.lit(True)), "x", "left")
+        state = known.groupBy("doc_id").agg(F.min("least").alias("least"), F.max(F.coalesce("waits", F.lit(False))).alias("waits"))
+        first = state.where("least = doc_id AND NOT waits").select("doc_id", F.lit(True).alias("first"))
+        rows_ = cut(rows.join(first, "doc_id", "left").select("doc_id", "x", (F.col("kept") | F.coalesce("first", F.lit(False))).alias("kept")))
+        stay = rows_.where("kept").groupBy("x").agg(F.min("doc_id").alias("by"))
+        cover = alike.join(stay.withColumnRenamed("x", "y"), "y").select("x", "by").unionByName(stay).groupBy("x").agg(F.min("by").alias("by"))
+        gone = cut(_salted(rows_, cover, "x").where("by < doc_id").select("doc_id").distinct())
+        if gone.isEmpty():
+            return rows_
+        rows = cut(rows_.join(gone, "doc_id", "left_anti"))
+
+
+def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id) of the documents that stay: a document goes only if it is alike a smaller one that stays, and no two that share a band and stay are alike.
+
+    Bands only name the pairs to compare; every pair is counted over whole texts. In each pass the first ``n`` texts of each
+    band key are compared with all texts after them and leave the key, n doubles, and what is settled is taken out, so that a
+    group of m near copies costs about m comparisons a key, not m * m. Equal words are one text.
+    """
+    spark = docs.sparkSession
+    sketched = cut(sketches(docs, shingle))
+    rows = cut(sketched.select("doc_id", "x", F.lit(False).alias("kept")).distinct())
+    band = sketched.groupBy("x").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys")).select("x", "size", F.explode("keys").alias("key"))
+    band = cut(_salted(band, band.groupBy("key").count().where("count > 1").select("key"), "key"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    found, n = spark.createDataFrame([], "x binary, y binary"), 1
+    while True:
+        least = rows.groupBy("x").agg(F.min("doc_id").alias("m"))
+        band = cut(band.select("x", "size", "key").join(least, "x"))
+        salt = F.pmod(F.xxhash64("x"), F.lit(SPREAD))
+        front = band.withColumn("r", F.row_number().over(Window.partitionBy("key", salt).orderBy("m", "x"))).where(F.col("r") <= n)
+        front = front.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("m", "x"))).where(F.col("r") <= n)
+        front = cut(front.select("key", F.col("x").alias("y"), F.col("size").alias("sizey"), F.col("m").alias("my")))
+        # Jaccard is at most the smaller size over the larger one; no such pair is lost
+        met = _salted(band, front, "key").where("struct(m, x) > struct(my, y)").where(F.least("size", "sizey") >= similarity * F.greatest("size", "sizey"))
+        pairs = cut(met.select("x", "y").distinct())
+        if not pairs.isEmpty():
+            texts = _texts(own, sketched, pairs)
+            both = _salted(pairs.join(texts, "x"), texts.select(F.col("x").alias("y"), F.col("text").alias("kept")).join(pairs.select("y").distinct(), "y", "left_semi"), "y")
+            same = cut(both.select(F.struct("x", "y").alias("pair"), "text", "kept").mapInArrow(_alike(shingle, similarity), "pair struct<x: binary, y: binary>").select("pair.x", "pair.y"))
+            found = cut(found.unionByName(same).unionByName(same.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+        band = cut(band.join(front.select("key", F.col("y").alias("x")), ["key", "x"], "left_anti"))
+        rows = _settled(rows, found, band.select("x").distinct())
+        if band.isEmpty():
+            return rows.select("doc_id").distinct()
+        n *= 2
+
+
+def _texts(own: DataFrame, sketched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, text): one text of each digest that pairs name, read from its smallest document only."""
+    named = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
+    one = sketched.groupBy("x").agg(F.min("doc_id").alias("doc_id")).join(named, "x")
+    texts = own.join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [b" ".join((t.as_py() or b"").lower().split()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in words], pa.binary()), pa.array(words, pa.binary())], ["x", "text"])
+
+    # a repeated doc_id has further texts: those that no pair names fall out in the joins
+    return cut(texts.select("text").mapInArrow(run, "x binary, text binary").dropDuplicates(["x"]))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay when near copies go, the smallest doc_id first.
+
+    A document goes if it shares at least ``similarity`` of its distinct word shingles (Jaccard over whole texts) with a
+    document of a smaller doc_id that stays. Pairs to compare come from ``BANDS`` MinHash bands of ``ROWS`` rows, since near
+    copies at 0.8 differ in far more than 3 bits of a SimHash. Rows without doc_id stay. Repeated doc_ids are one document:
+    all its rows stay, or all go (it goes if any of its rows is alike any row of one that stays).
     """
-    groups = cut(near_duplicates(docs, shingle, most).where("doc_id IS NOT NULL AND component_id < doc_id").select("doc_id", "component_id").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    kept = texts.groupBy(F.col("doc_id").alias("component_id")).agg(F.min("text").alias("kept")).join(groups.select("component_id").distinct(), "component_id", "left_semi")
-    pairs = groups.join(texts, "doc_id").join(cut(kept), "component_id").select("doc_id", "text", "kept")
-    gone = pairs.mapInArrow(_alike(shingle, similarity), "doc_id long").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    stay = survivors(docs, shingle, similarity).withColumnRenamed("doc_id", "stay_id")
+    return docs.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

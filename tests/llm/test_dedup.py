@@ -83,6 +83,49 @@ def test_keep_one(docs):
     assert {None, 3, 6} <= ids and 4 not in ids
 
 
+def kept_by_brute_force(rows, least=0.8):
+    """Ids that stay: in the order of ids, a document goes if any of its texts is alike any text of one that stays."""
+    of = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        of.setdefault(i, []).append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    alike = lambda a, b: len(a & b) >= least * len(a | b)
+    stay = []
+    for i in sorted(x for x in of if x is not None):
+        if not any(alike(a, b) for j in stay for a in of[i] for b in of[j]):
+            stay.append(i)
+    return set(stay)
+
+
+def test_keep_one_finds_near_copies_at_the_threshold(docs, odd):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    rows = list(odd)
+    for i in range(60):  # two to six scattered words of 300 changed: similarities of about 0.82 to 0.94, far over 3 bits
+        text = [rng.choice(words) for _ in range(300)]
+        near = list(text)
+        for k in rng.sample(range(10, 290), 2 + i % 5):
+            near[k] = "changed"
+        rows += [(100 + 2 * i, " ".join(text)), (101 + 2 * i, " ".join(near))]
+    stay = kept_by_brute_force(rows)
+    assert not {101 + 2 * i for i in range(60)} & stay
+    assert {r.doc_id for r in simhash.keep_one(docs(rows)).collect()} == stay | {None}
+
+
+def test_keep_one_settles_groups_joined_by_a_chain(docs):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(2000)]
+    text = [rng.choice(words) for _ in range(300)]
+
+    def changed(n, at=0):
+        return " ".join("changed" if (k - at) % 20 == 10 and (k - at) // 20 in range(n) else w for k, w in enumerate(text))
+
+    rows = [(1, changed(8))] + [(2 + i, changed(4)) for i in range(5)] + [(20 + i, " ".join(text)) for i in range(30)] + [(60, changed(1)), (61, changed(15))]
+    stay = kept_by_brute_force(rows)
+    assert len(stay & set(range(20, 50))) <= 1
+    assert {r.doc_id for r in simhash.keep_one(docs(rows)).collect()} == stay
+
+
 def test_cap_filters_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 64)).astype("f4")

@@ -201,13 +201,31 @@ class Ivf:
         return self.rows.groupBy("cluster").agg(F.count("*").alias("vectors"))
 
     def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """(query_id, id, similarity, rank), each query itself left out before the cut to k."""
+        """(query_id, id, similarity, rank), each query itself left out before the cut to k.
+
+        The nearest ``probes`` cells come first. A further cell is searched unless the angles say that none of its vectors can
+        beat the k-th found so far, so that the result is that of a search of every cell.
+        """
         similar = F.array(*(F.struct(cosine("dims", _literal(c)).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)))
         near = F.slice(F.sort_array(similar, asc=False), 1, probes)
-        asks = queries.select(F.col("id").alias("query_id"), F.col("dims").alias("query"), F.explode(F.transform(near, lambda x: x["i"])).alias("cluster"))
-        pairs = asks.join(self.rows, "cluster").where("id <> query_id").select("query_id", "id", cosine("query", "dims").alias("similarity"))
+        asked = queries.select(F.col("id").alias("query_id"), F.col("dims").alias("query"), near.alias("near"), similar.alias("similar"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-        return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+        def best(asks: DataFrame, also: DataFrame | None = None) -> DataFrame:
+            pairs = asks.join(self.rows, "cluster").where("id <> query_id").select("query_id", "id", cosine("query", "dims").alias("similarity"))
+            every = pairs if also is None else pairs.unionByName(also)
+            return every.withColumn("rank", rank).where(F.col("rank") <= k)
+
+        first = cut(best(asked.select("query_id", "query", F.explode(F.transform("near", lambda x: x["i"])).alias("cluster"))).drop("rank"))
+        floor = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
+        rest = asked.select("query_id", "query", F.explode(F.array_except("similar", "near")).alias("c")).select("query_id", "query", F.col("c.i").alias("cluster"), F.col("c.s").alias("s"))
+        # no vector of a cell is nearer to the query than the angle to its centre less the cell's widest angle
+        own = F.element_at(F.array(*(cosine("dims", _literal(c)) for c in self.centres)), F.col("cluster").cast("int") + 1)
+        widest = self.rows.groupBy("cluster").agg(F.max(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), own)))).alias("wide"), F.max(l2_norm("dims") == 0).alias("zeros"))
+        angle = F.greatest(F.lit(0.0), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s")))) - F.col("wide"))
+        open_ = F.col("floor").isNull() | F.col("zeros") | F.isnan("wide") | (F.col("s") == 0) | (F.cos(angle) + 1e-9 >= F.col("floor"))
+        further = rest.join(widest, "cluster").join(floor, "query_id", "left").where(open_).select("query_id", "query", "cluster")
+        return best(further, first)
 
 
 def latest(versions: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:

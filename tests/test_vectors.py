@@ -54,6 +54,14 @@ def test_kmeans_quantize_ann(spark):
     assert index.stats().agg(F.sum("vectors")).first()[0] == 400
 
 
+def test_ann_with_registered_parameters_misses_nothing(spark):
+    rng = np.random.default_rng(2)
+    v = make(spark, list(enumerate(rng.standard_normal((600, 64)))))
+    asked = v.where("id % 50 = 0")
+    exact = {(r.query_id, r.id, r["rank"]) for r in vectors.search(v, asked, k=10).collect()}
+    assert {(r.query_id, r.id, r["rank"]) for r in vectors.Ivf(v).search(asked, 10).collect()} == exact
+
+
 def test_expressions(spark):
     t = "User loves playing banjo and learning Zig programming language"
     row = spark.createDataFrame([(t,)], "t string").select(exprs.concepts("t").alias("c"), exprs.hash_embed("t", 16).alias("e"), exprs.byte_entropy("t").alias("h")).first()

@@ -411,6 +411,12 @@ def byte_entropy(spark, sf):
     return ascii_.select("item_id", r6(exprs.byte_entropy("text")).alias("entropy"))
 
 
+@query()
+def byte_entropy_all(spark, sf):
+    """As byte_entropy, for every row: with accents, empty or null. The SQL of byte_entropy counts characters, so it has ASCII texts only."""
+    return d.table(spark, sf, "benchmark").select("item_id", r6(exprs.byte_entropy("text")).alias("entropy"))
+
+
 # ---- log ----
 
 

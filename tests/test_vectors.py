@@ -82,3 +82,15 @@ def test_expressions(spark):
     assert spark.range(1).select(exprs.unsigned(F.lit(-1))).first()[0] == (1 << 64) - 1
     exprs.register(spark)
     assert spark.sql("SELECT cosine_sim(array(1D, 0D), array(1D, 1D)), size(concepts('the banjo sings'))").first()[0] == pytest.approx(0.5**0.5)
+
+
+def test_byte_entropy_of_every_row(spark, tmp_path):
+    from graphloom.plans.queries import QUERIES
+
+    texts = ["plain", "née à Zürich", "日本語 😀", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.entropy for r in QUERIES["byte_entropy_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(5)) and got[4] is None
+    for i, t in enumerate(texts[:4]):
+        p = np.unique(list(t.encode()), return_counts=True)[1] / max(1, len(t.encode()))
+        assert got[i] == pytest.approx(-(p * np.log2(p)).sum(), abs=1e-6)

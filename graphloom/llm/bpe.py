@@ -8,7 +8,8 @@ exists is remembered, so each place is left behind once and the work is linear i
 of pairwise compatible tokens, which is what merging the lowest rank first gives.
 
 Pre-tokens are the matches of a pattern, each encoded by itself; a worker keeps the ids of recent pre-tokens, and of
-recent words with what is around them up to the next space, in bounded caches.
+recent words with what is around them up to the next space, in caches bounded by bytes. ``code`` encodes and decodes in one pass, with
+one worker and one vocabulary for each core.
 
 Nulls and odd input: a null text counts as empty and has no tokens; null ids decode to nothing (empty bytes); an id outside
 the vocabulary raises; repeated rows keep one result each; empty tables give empty results; all other columns stay, and
@@ -35,8 +36,10 @@ from .common import table
 from .pretokens import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of a worker's caches; a full one is emptied. Pre-tokens over LONG characters are not kept.
-CHUNKS, PIECES, PAIRS, LONG = 250_000, 200_000, 200_000, 64
+#: Bounds of a worker's caches, in bytes and in pairs; a full one is emptied. Pre-tokens over LONG characters are not kept.
+CHUNKS, PIECES, PAIRS, LONG = 40 << 20, 20 << 20, 150_000, 64
+#: Bytes of text that are coded at a time, so that a batch of very long ones fits in memory.
+STEP = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,12 +139,30 @@ class Encoder:
         return out
 
 
-class Chunks(dict):
-    """What follows a space, up to the next place where a pre-token must start -> its ids as int32 bytes; missing ones are encoded and kept while there is room."""
+class Held(dict):
+    """A cache of str -> bytes that is emptied before its entries take more than ``most`` bytes."""
 
-    def __init__(self, encoder: Encoder, pattern: str):
+    def __init__(self, most: int):
         super().__init__()
-        self.encoder, self.split, self.pieces = encoder, regex.compile(pattern).findall, {}
+        self.most = self.left = most
+
+    def keep(self, key: str, ids: bytes) -> None:
+        if len(key) > LONG:
+            return
+        size = 200 + 2 * len(key) + len(ids)  # the slot, two objects' heads, and what they hold
+        if size > self.left:
+            self.clear()
+            self.left = self.most
+        self[key] = ids
+        self.left -= size
+
+
+class Chunks(Held):
+    """What follows a space, up to the next place where a pre-token must start -> its ids as int32 bytes; missing ones are encoded and kept."""
+
+    def __init__(self, encoder: Encoder, pattern: str):
+        super().__init__(CHUNKS)
+        self.encoder, self.split, self.pieces = encoder, regex.compile(pattern).findall, Held(PIECES)
 
     def ids(self, text: str) -> bytes:
         """The ids of a text's pre-tokens, by the pieces known so far."""
@@ -150,84 +171,96 @@ class Chunks(dict):
             found = pieces.get(piece)
             if found is None:
                 found = array("i", self.encoder.encode(piece.encode("utf-8"))).tobytes()
-                if len(piece) <= LONG:
-                    if len(pieces) >= PIECES:
-                        pieces.clear()
-                    pieces[piece] = found
+                pieces.keep(piece, found)
             out.append(found)
         return b"".join(out)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.ids(" " + chunk)
-        if len(chunk) <= LONG:
-            if len(self) >= CHUNKS:
-                self.clear()
-            self[chunk] = ids
+        self.keep(chunk, ids)
         return ids
 
     def text(self, text: str) -> bytes:
         first, *rest = chunks(text)
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
 
+    def bytes_of(self, ids: bytes) -> bytes:
+        """The bytes that ids (int32 bytes) stand for."""
+        return b"".join(map(self.encoder.tokens.__getitem__, array("i", ids)))
+
 
 @lru_cache(maxsize=2)
 def _worker(path: str, pattern: str) -> Chunks:
     return Chunks(Encoder(read_ranks(path)), pattern)
 
 
-@lru_cache(maxsize=2)
-def _bytes_of(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def _steps(batch: pa.RecordBatch, at: int, most: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes in column ``at``, a row at least."""
+    column = batch.column(at)
+    sizes = np.diff(np.frombuffer(column.buffers()[1], "i4" if column.type in (pa.string(), pa.binary()) else "i8")[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, "i8")
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype="i8") // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
-def _with(docs: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
-    kept = docs.drop(name)
-    return kept, T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "i4")), type=pa.list_(pa.field("element", pa.int32(), False)))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
-    """docs with a column ``out`` array<int>: the ids of the whole text. Without special tokens. keep_text=False drops the text."""
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def code(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", decoded: str | None = "decoded", keep_text: bool = True) -> DataFrame:
+    """docs with columns ``out`` array<int>, the ids of the whole text without special tokens, and ``decoded`` binary, the bytes that these ids
+    stand for (None: left out). keep_text=False drops the text."""
     path = path or public_tokenizers.path(VOCABULARY)
-    base = docs.drop(*({out} - {text}))
-    schema = T.StructType([*(f for f in base.schema.fields if f.name != out and (keep_text or f.name != text)), T.StructField(out, T.ArrayType(T.IntegerType(), False))])
-    names, at = schema.names, base.columns.index(text)
-    kept = [base.columns.index(c) for c in names[:-1]]
+    new = [out, *([decoded] if decoded else [])]
+    base = docs.drop(*({*new} - {text}))
+    fields = [f for f in base.schema.fields if f.name not in new and (keep_text or f.name != text)]
+    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in zip(new, (IDS, T.BinaryType())))])
+    at, kept = base.columns.index(text), [base.columns.index(f.name) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker(path, pattern)
         for whole in batches:
-            # few texts at a time, by their size, so that a batch of very long ones fits in memory
-            sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in whole.column(at)])
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // 8_000_000)) + 1).tolist(), whole.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                batch = whole.slice(a, b - a)
+            for batch in _steps(whole, at):
                 ids = [known.text(x.as_py()) if x.is_valid else b"" for x in batch.column(at)]
-                ends = np.cumsum([0, *map(len, ids)]) // 4
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "i4")), type=pa.list_(pa.field("element", pa.int32(), False)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), lists], names=names)
+                arrays = [_lists(ids), *([pa.array(map(known.bytes_of, ids), pa.binary(), size=len(ids))] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *arrays], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
+    """docs with a column ``out`` array<int>: the ids of the whole text. Without special tokens. keep_text=False drops the text."""
+    return code(docs, path, pattern, text, out, None, keep_text)
+
+
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column ``out`` binary: the bytes that the ids stand for."""
     path = path or public_tokenizers.path(VOCABULARY)
-    base, schema = _with(docs, out, T.BinaryType())
+    base = docs.drop(out)
+    schema = T.StructType([*base.schema.fields, T.StructField(out, T.BinaryType())])
     at = base.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _bytes_of(path).__getitem__
+        get = _tokens(path).__getitem__
         for batch in batches:
-            column = batch.column(at)
-            texts = [b"".join(map(get, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
+            texts = [b"".join(map(get, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    return decode(encoded).select(
+    return code(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -60,3 +60,24 @@ def test_token_counts(spark, docs, odd):
     want = sorted((i or -1, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False)), n > 512) for i, x in rows)
     assert got == want
     assert token_counts.count(docs([]).limit(0)).isEmpty()
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNKS", 20_000)
+    known = bpe.Chunks(bpe.Encoder(bpe.read_ranks(P.path(bpe.VOCABULARY))), P.PATTERN)
+    for i in range(2000):
+        known.text(f"a word{i} " + "é" * (i % 60))
+        assert sum(200 + 2 * len(k) + len(v) for k, v in known.items()) <= 20_000 and len(known) > 0
+
+
+def test_query_digests(spark, library, docs, odd, tmp_path):
+    import hashlib
+
+    rows = [*odd, *((100 + i, x) for i, x in enumerate(texts()[:300]))]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op2_byte_bpe(spark, str(tmp_path)).collect())
+    want = []
+    for i, x in rows:
+        ids = library.encode_ordinary(x or "")
+        want.append((i or -1, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()))
+    assert got == sorted(want)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,14 @@ from .common import Stars, components, cut, table, whole_runs
 SEED, BITS, SEGMENTS = 42, 64, 16
 #: Most fingerprints of one key that meet in one cell at once (twice that in a cell of two chunks).
 CELL = 2048
-#: MinHash bands of ``keep_one``: a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**8)**48 = 0.9998.
-BANDS, ROWS = 48, 8
-FLIPS, TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), "u8", endpoint=False)
-TIMES = TIMES | np.uint64(1)
-#: Parts of a hot value in the joins of ``keep_one``.
-SPREAD = 16
+#: The wide fingerprints of ``keep_one``: bits; bits of a segment; leading segments that are equal; differing bits at most. Texts
+#: at a similarity of 0.8 differ in 0.15 of the bits (116, standard deviation 10), so some start has 20 equal bits for 97 % of them.
+WIDE, SEGMENT, EQUAL, MOST_BITS = 768, 4, 5, 144
+_TURNS = np.arange(1, WIDE // 64 + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+#: The bits of each byte, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).view("u8").ravel()
+#: Texts that each is compared with in the first round; parts of a hot value in joins; one text in so many tells hot cells.
+FRONT, SPREAD, SAMPLE = 2, 16, 64
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -147,132 +149,250 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def _alike(shingle: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [x.as_py() or b"" for x in batch.column(1)]
-            kept = [x.as_py() or b"" for x in batch.column(2)]
-            # equal words need no count; others are counted over the whole texts
-            ok = [a == b or a.lower().split() == b.lower().split() or jaccard(shingles(a, shingle), shingles(b, shingle)) >= similarity for a, b in zip(own, kept, strict=True)]
-            yield batch.select([0]).filter(pa.array(ok))
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of ``WIDE`` bits (as words of 64) of a set of shingle hashes, each of which gives further words by mixing."""
+    ones = np.zeros(WIDE, "i8")
+    for at in range(0, len(hashes), 255):  # lanes of a byte count up to 255 rows
+        h = hashes[at : at + 255, None] + _TURNS
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += _LANES[h.astype(">u8").view("u1").reshape(len(h), -1)].sum(axis=0, dtype="u8").view("u1")
+    return np.packbits(2 * ones > len(hashes)).view(">u8").astype("u8")
+
+
+def ring(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, chain) of each fingerprint (rows) and start on its ring: the start with the first ``EQUAL`` segments, and the 64 bits from there on."""
+    chain = np.empty((len(prints), WIDE // SEGMENT), "u8")
+    following = np.roll(prints, -1, axis=1)
+    for turn in range(64 // SEGMENT):
+        left = np.uint64(SEGMENT * turn)
+        chain[:, turn :: 64 // SEGMENT] = (prints << left) | (following >> (np.uint64(64) - left)) if turn else prints
+    width = np.uint64(EQUAL * SEGMENT)
+    return (chain >> (np.uint64(64) - width)) | (np.arange(WIDE // SEGMENT, dtype="u8") << width), chain
+
+
+def within(x: np.ndarray) -> np.ndarray:
+    """Whether the differing bits x of chains of 64 bits keep the budget of every run of leading segments."""
+    ok = np.bitwise_count(x) <= 64 * MOST_BITS // WIDE
+    for length in range(EQUAL + 1, 64 // SEGMENT):
+        if SEGMENT * length * MOST_BITS // WIDE < SEGMENT * (length - EQUAL):
+            ok &= np.bitwise_count(x >> np.uint64(64 - SEGMENT * length)) <= SEGMENT * length * MOST_BITS // WIDE
+    return ok
 
-    return run
 
+def digest(text: bytes) -> bytes:
+    """One for all texts of the same words."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key per band of a set of shingle hashes: ``ROWS`` minima under permutations, mixed with the band's number."""
-    if not len(hashes):
-        hashes = np.zeros(1, "u8")
-    least = np.array([((hashes ^ f) * t).min() for f, t in zip(FLIPS, TIMES, strict=True)], "u8").reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype="u8")
-    for row in range(ROWS):
-        keys = (keys ^ least[:, row]) * TIMES[0]
-        keys ^= keys >> np.uint64(29)
-    return keys.view("i8")
+
+def _bytes(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, x, size, keys) of every row with a doc_id: x is a digest of the words (equal words, equal x), size counts its shingles, keys are its bands' keys."""
+    """(doc_id, x, size, fp) of every row with a doc_id: the digest of its words, the number of its shingles, its wide fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column(1)]
-            digests = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts]
-            sets = [shingles(t, shingle) for t in texts]
-            arrays = [pa.array(digests, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "x", "size", "keys"])
+            sizes, prints = [], []
+            for t in texts:
+                own = shingles(t, shingle)
+                sizes.append(len(own))
+                prints.append(wide_fingerprint(own))
+            flat = pa.array(np.concatenate(prints).view("i8") if prints else np.empty(0, "i8"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * (WIDE // 64), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, texts), pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "x", "size", "fp"])
+
+    return _bytes(docs).mapInArrow(run, "doc_id long, x binary, size long, fp array<long>")
+
+
+def _rings(texts: DataFrame) -> DataFrame:
+    """(cell, chain, t) of texts(t, fp): a row per start on the ring."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                cell, chain = ring(part.column(1).flatten().to_numpy(zero_copy_only=False).view("u8").reshape(part.num_rows, -1))
+                t = np.repeat(part.column(0).to_numpy(), cell.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().view("i8")), pa.array(chain.ravel().view("i8")), pa.array(t)], ["cell", "chain", "t"])
+
+    return texts.select("t", "fp").mapInArrow(run, "cell long, chain long, t long")
 
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, x binary, size long, keys array<long>")
+
+def _cells(texts: DataFrame, front: int) -> DataFrame:
+    """(cell, chain, t, leads) of texts(t, fp). A hot cell is dealt as many parts, each with the cell's first ``front`` texts, which lead it.
+
+    Hot cells are told by a sample of the texts, which only decides how the work is dealt.
+    """
+    rows = _rings(texts)
+    hot = cut(_rings(texts.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0)).groupBy("cell").count().where(F.col("count") * SAMPLE >= CELL).select("cell", F.ceil(F.col("count") * SAMPLE / CELL).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.withColumn("leads", F.lit(False))
+    dealt = rows.join(hot, "cell", "left")
+    part = lambda p: F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", p).bitwiseOR(F.lit(-(1 << 63))))
+    own = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
+    long_ = rows.join(hot, "cell").withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SPREAD)))
+    for by in (["cell", "salt"], ["cell"]):
+        long_ = long_.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("t"))).where(F.col("r") <= front)
+    first = cut(long_.select("cell", "chain", "t", "parts"))
+    leaders = first.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(part(F.col("p")).alias("cell"), "chain", "t", F.lit(True).alias("leads"))
+    least = first.groupBy("cell").agg(F.max("t").alias("upto"))  # what comes after the first is dealt
+    rest = dealt.join(least, "cell", "left").where("upto IS NULL OR t > upto").select(part(own).alias("cell"), "chain", "t", F.lit(False).alias("leads"))
+    return rest.unionByName(leaders)
+
+
+def _met(most: int):
+    """(x, y, waits) of whole cells: y are the first texts before x in its cells whose chains keep their budgets, ``most`` + 1 at most in a
+    task; and, with y null, the texts of cells that hold more for some x. In a dealt cell those wait that don't lead it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_ in whole_runs(batches, "cell"):
+            cell, chain, t = (table_.column(c).to_numpy() for c in ("cell", "chain", "t"))
+            leads = table_.column("leads").to_numpy()
+            order = np.lexsort((t, ~leads, cell))
+            cell, chain, t, leads = cell[order], chain[order], t[order], leads[order]
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            size = np.diff(np.r_[start, len(cell)])
+            many = np.repeat(size > 1, size)  # most cells have one text
+            chain, t, leads, size = chain[many], t[many], leads[many], size[size > 1]
+            if not len(size):
+                continue
+            start = np.cumsum(size) - size
+            first, of = np.repeat(start, size), np.repeat(np.arange(len(size)), size)
+            rank, hot = np.arange(len(t)) - first, np.repeat(leads[start], size)
+            count_, over, pairs, i, f = np.zeros(len(t), "i4"), hot[start].copy(), [], np.arange(len(t)), 0
+            while True:
+                i = i[(rank[i] > f) & (leads[first[i] + f] | ~hot[i])]  # of a dealt cell those that lead it are compared with
+                if not len(i):
+                    break
+                hit = i[within((chain[i] ^ chain[first[i] + f]).view("u8"))]
+                count_[hit] += 1
+                pairs.append((t[hit], t[first[hit] + f]))
+                full = hit[count_[hit] > most]
+                over[of[full]] = True
+                i, f = i[count_[i] <= most], f + 1
+            x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            if len(x):
+                x, y = np.unique(np.stack([x, y]), axis=1)
+                new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                few = np.arange(len(x)) - np.repeat(new, np.diff(np.r_[new, len(x)])) <= most
+                x, y = x[few], y[few]
+                for at in range(0, len(x), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part]), pa.array(y[part]), pa.nulls(len(x[part]), pa.bool_())], ["x", "y", "waits"])
+            waits, more = hot & ~leads, np.repeat(over, size)
+            for own, flag in ((np.unique(t[waits]), True), (np.unique(t[more & ~waits]), False)):
+                for at in range(0, len(own), 100_000):
+                    part = own[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(np.full(len(part), flag))], ["x", "y", "waits"])
+
+    return run
 
 
 def _salted(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """left joined with the smaller right on a column of which left may have one hot value."""
+    """left(x, ...) joined with the smaller right on a column of which left may have one hot value."""
     every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
     return left.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SPREAD)).cast("int")).join(right.select("*", every), [on, "salt"], how).drop("salt")
 
 
-def _settled(rows: DataFrame, alike: DataFrame, waiting: DataFrame) -> DataFrame:
-    """rows(doc_id, x, kept) without the documents that are alike a smaller kept one, and with further documents marked kept.
+def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(x, y) of the pairs that pass the full Hamming check and whose shingles, counted over whole texts, are as similar as asked."""
+    named = pairs.select(F.col("y").alias("t")).distinct()
+    of_y = texts.join(named, "t", "left_semi").select(F.col("t").alias("y"), F.col("fp").alias("fp_y"), F.col("size").alias("size_y"))
+    both = _salted(pairs.join(texts.select(F.col("t").alias("x"), "fp", "size"), "x"), of_y, "y")
+    bits = F.aggregate(F.zip_with("fp", "fp_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    # the Jaccard similarity is at most the smaller size over the larger one
+    close = cut(both.where(F.least("size", "size_y") >= similarity * F.greatest("size", "size_y")).where(bits <= MOST_BITS).select("x", "y"))
+    wanted = close.select(F.col("x").alias("t")).unionByName(close.select(F.col("y").alias("t"))).distinct()
+    wanted = texts.join(wanted, "t", "left_semi").select("t", F.col("m").alias("doc_id"), F.col("x").alias("d"))
 
-    A document is kept once it has no comparison to wait for and every smaller document alike it is gone.
-    """
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a repeated doc_id may have further texts
+            keep = [digest(x.as_py() or b"") == d for x, d in zip(batch.column(2), batch.column(1).to_pylist(), strict=True)]
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+    found = cut(_bytes(docs).join(wanted, "doc_id").select("t", "d", "text").mapInArrow(own, "t long, text binary").dropDuplicates(["t"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, "u8")
+        for batch in batches:
+            keep = []
+            for y, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if y != last:
+                    last, held = y, shingles(b.as_py() or b"", shingle)
+                keep.append(jaccard(shingles(a.as_py() or b"", shingle), held) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    of_y = found.join(close.select(F.col("y").alias("t")).distinct(), "t", "left_semi").select(F.col("t").alias("y"), F.col("text").alias("text_y"))
+    rows = _salted(close.join(found.withColumnRenamed("t", "x"), "x"), of_y, "y").select("x", "y", "text", "text_y")
+    return cut(rows.sortWithinPartitions("y").mapInArrow(run, "x long, y long"))
+
+
+def _settled(alike: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alike without the pairs of texts that go, (t) of those): a text stays once it doesn't wait and no smaller one that may stay is alike it."""
+    gone = None
     while True:
-        of = rows.groupBy("x").agg(F.min("doc_id").alias("least"))
-        near = alike.join(of.withColumnRenamed("x", "y"), "y").select("x", "least").unionByName(of).groupBy("x").agg(F.min("least").alias("least"))
-        known = _salted(rows, near, "x").join(waiting.withColumn("waits", F.lit(True)), "x", "left")
-        state = known.groupBy("doc_id").agg(F.min("least").alias("least"), F.max(F.coalesce("waits", F.lit(False))).alias("waits"))
-        first = state.where("least = doc_id AND NOT waits").select("doc_id", F.lit(True).alias("first"))
-        rows_ = cut(rows.join(first, "doc_id", "left").select("doc_id", "x", (F.col("kept") | F.coalesce("first", F.lit(False))).alias("kept")))
-        stay = rows_.where("kept").groupBy("x").agg(F.min("doc_id").alias("by"))
-        cover = alike.join(stay.withColumnRenamed("x", "y"), "y").select("x", "by").unionByName(stay).groupBy("x").agg(F.min("by").alias("by"))
-        gone = cut(_salted(rows_, cover, "x").where("by < doc_id").select("doc_id").distinct())
-        if gone.isEmpty():
-            return rows_
-        rows = cut(rows_.join(gone, "doc_id", "left_anti"))
-
-
-def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id) of the documents that stay: a document goes only if it is alike a smaller one that stays, and no two that share a band and stay are alike.
-
-    Bands only name the pairs to compare; every pair is counted over whole texts. In each pass the first ``n`` texts of each
-    band key are compared with all texts after them and leave the key, n doubles, and what is settled is taken out, so that a
-    group of m near copies costs about m comparisons a key, not m * m. Equal words are one text.
+        stay = alike.select("y").distinct().join(alike.select(F.col("x").alias("y")), "y", "left_anti").join(waiting.select(F.col("t").alias("y")), "y", "left_anti")
+        go = cut(_salted(alike, stay, "y").select(F.col("x").alias("t")).distinct())
+        gone = go if gone is None else gone.unionByName(go)
+        if go.isEmpty():
+            return alike, gone
+        left = alike.join(go.withColumnRenamed("t", "x"), "x", "left_anti")
+        alike = cut(_salted(left, go.withColumnRenamed("t", "y"), "y", "left_anti").select("x", "y"))
+
+
+def gone_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id) of the documents that go: all their texts are alike one of a smaller document that stays; no two found alike both stay.
+
+    Texts of equal words are one. The others have ``WIDE``-bit SimHash fingerprints on a ring of segments. Two texts meet in the cell
+    of a start from which ``EQUAL`` segments are equal; the chain from there must keep its budgets, at ``MOST_BITS`` on the whole ring, then
+    all bits are compared, then all shingles. In a round each text is compared with the first texts that it meets, and what is alike
+    a text that stays is taken out; texts that meet more go on, with more at a time. So a group of m copies costs about m
+    comparisons, not m * m.
     """
     spark = docs.sparkSession
     sketched = cut(sketches(docs, shingle))
-    rows = cut(sketched.select("doc_id", "x", F.lit(False).alias("kept")).distinct())
-    band = sketched.groupBy("x").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys")).select("x", "size", F.explode("keys").alias("key"))
-    band = cut(_salted(band, band.groupBy("key").count().where("count > 1").select("key"), "key"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found, n = spark.createDataFrame([], "x binary, y binary"), 1
+    # numbered in the order of (smallest doc_id, digest)
+    texts = sketched.groupBy("x").agg(F.min("doc_id").alias("m"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp")).orderBy("m", "x")
+    texts = cut(texts.withColumn("t", F.monotonically_increasing_id()))
+    gone, alike, tested = spark.createDataFrame([], "t long"), spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "x long, y long")
+    left, most = texts.where(F.col("size") > 0), FRONT
     while True:
-        least = rows.groupBy("x").agg(F.min("doc_id").alias("m"))
-        band = cut(band.select("x", "size", "key").join(least, "x"))
-        salt = F.pmod(F.xxhash64("x"), F.lit(SPREAD))
-        front = band.withColumn("r", F.row_number().over(Window.partitionBy("key", salt).orderBy("m", "x"))).where(F.col("r") <= n)
-        front = front.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("m", "x"))).where(F.col("r") <= n)
-        front = cut(front.select("key", F.col("x").alias("y"), F.col("size").alias("sizey"), F.col("m").alias("my")))
-        # Jaccard is at most the smaller size over the larger one; no such pair is lost
-        met = _salted(band, front, "key").where("struct(m, x) > struct(my, y)").where(F.least("size", "sizey") >= similarity * F.greatest("size", "sizey"))
-        pairs = cut(met.select("x", "y").distinct())
+        met = cut(_cells(left, 32 * most).repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(most), "x long, y long, waits boolean"))
+        firsts = F.row_number().over(Window.partitionBy("x").orderBy("y"))
+        near = cut(met.where("y IS NOT NULL").select("x", "y").distinct().withColumn("r", firsts).where(F.col("r") <= most + 1))
+        pairs = cut(near.where(F.col("r") <= most).select("x", "y").join(tested, ["x", "y"], "left_anti"))
         if not pairs.isEmpty():
-            texts = _texts(own, sketched, pairs)
-            both = _salted(pairs.join(texts, "x"), texts.select(F.col("x").alias("y"), F.col("text").alias("kept")).join(pairs.select("y").distinct(), "y", "left_semi"), "y")
-            same = cut(both.select(F.struct("x", "y").alias("pair"), "text", "kept").mapInArrow(_alike(shingle, similarity), "pair struct<x: binary, y: binary>").select("pair.x", "pair.y"))
-            found = cut(found.unionByName(same).unionByName(same.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-        band = cut(band.join(front.select("key", F.col("y").alias("x")), ["key", "x"], "left_anti"))
-        rows = _settled(rows, found, band.select("x").distinct())
-        if band.isEmpty():
-            return rows.select("doc_id").distinct()
-        n *= 2
-
-
-def _texts(own: DataFrame, sketched: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x, text): one text of each digest that pairs name, read from its smallest document only."""
-    named = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
-    one = sketched.groupBy("x").agg(F.min("doc_id").alias("doc_id")).join(named, "x")
-    texts = own.join(one.select("doc_id").distinct(), "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [b" ".join((t.as_py() or b"").lower().split()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in words], pa.binary()), pa.array(words, pa.binary())], ["x", "text"])
-
-    # a repeated doc_id has further texts: those that no pair names fall out in the joins
-    return cut(texts.select("text").mapInArrow(run, "x binary, text binary").dropDuplicates(["x"]))
+            tested = tested.unionByName(pairs)
+            alike = cut(alike.unionByName(_alike(pairs, texts, docs, shingle, similarity)))
+        waiting = cut(near.where(F.col("r") > most).select(F.col("x").alias("t")).unionByName(met.where("waits").select(F.col("x").alias("t"))).distinct())
+        alike, went = _settled(alike, waiting)
+        gone = cut(gone.unionByName(went))
+        waiting = cut(waiting.join(gone, "t", "left_anti"))
+        if waiting.isEmpty():
+            break
+        held = near.join(waiting.withColumnRenamed("t", "x"), "x", "left_semi").select(F.col("y").alias("t")).unionByName(met.where("y IS NULL").select(F.col("x").alias("t")))
+        left = cut(left.join(held.unionByName(waiting).distinct().join(gone, "t", "left_anti"), "t", "left_semi"))
+        most *= 4
+    lost = texts.join(gone.withColumn("gone", F.lit(True)), "t", "left").select("x", "m", F.coalesce("gone", F.lit(False)).alias("gone"))
+    # the largest digest group may hold a third of all rows, so its rows are dealt
+    of = _salted(sketched.select(F.col("x").alias("d"), "doc_id", F.xxhash64("doc_id").alias("x")), lost.withColumnRenamed("x", "d"), "d")
+    return of.groupBy("doc_id").agg(F.min(F.col("gone") | (F.col("doc_id") != F.col("m"))).alias("goes")).where("goes").select("doc_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when near copies go, the smallest doc_id first.
 
     A document goes if it shares at least ``similarity`` of its distinct word shingles (Jaccard over whole texts) with a
-    document of a smaller doc_id that stays. Pairs to compare come from ``BANDS`` MinHash bands of ``ROWS`` rows, since near
-    copies at 0.8 differ in far more than 3 bits of a SimHash. Rows without doc_id stay. Repeated doc_ids are one document:
-    all its rows stay, or all go (it goes if any of its rows is alike any row of one that stays).
+    document of a smaller doc_id that stays (see ``gone_documents``). Rows without doc_id stay. Repeated doc_ids are one
+    document: all its rows stay, if any of its texts is to stay, or all go.
     """
-    stay = survivors(docs, shingle, similarity).withColumnRenamed("doc_id", "stay_id")
-    return docs.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    name = next(n for k in count() if (n := f"gone_{k}") not in {c.lower() for c in docs.columns})
+    gone = cut(gone_documents(docs, shingle, similarity)).withColumnRenamed("doc_id", name)
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,35 @@ def test_intervals_equal_suffix_order():
         assert seen.setdefault(b, place[r]) == place[r]
     count = Counter(s[k : k + 6] for s in strings for k in range(len(s) - 5))
     assert Counter(place[r] for r in rows) == Counter({s: n for s, n in count.items() if n > 1})
+
+
+def test_wide_fingerprints_find_pairs_at_the_threshold():
+    """Recall of the chains at similarities of 0.8 to 0.85, with edits scattered and in one place."""
+    rng = np.random.default_rng(12)
+    found = []
+    for i in range(400):
+        n, share = 400, 0.8 + 0.05 * rng.random()
+        lost = round(n * (1 - share) / (1 + share))
+        a, b = rng.integers(0, 1 << 63, n, "u8"), rng.integers(0, 1 << 63, lost, "u8")
+        prints = np.stack([simhash.wide_fingerprint(a), simhash.wide_fingerprint(np.r_[a[lost:], b])])
+        cell, chain = simhash.ring(prints)
+        found.append(((cell[0] == cell[1]) & simhash.within(chain[0] ^ chain[1])).any() and np.bitwise_count(prints[0] ^ prints[1]).sum() <= simhash.MOST_BITS)
+    assert np.mean(found) >= 0.93
+
+
+def test_keep_one_deals_hot_cells(docs, monkeypatch):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    text = [rng.choice(words) for _ in range(200)]
+    rows = [(i, " ".join([*text, f"tail{i}"])) for i in range(1, 301)]  # one group of unlike texts, alike one another
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(100)]
+    monkeypatch.setattr(simhash, "CELL", 16)
+    monkeypatch.setattr(simhash, "SAMPLE", 4)
+    assert {r.doc_id for r in simhash.keep_one(docs(rows)).collect()} == {1} | {1000 + i for i in range(100)}
+
+
+def test_keep_one_of_nothing(docs):
+    assert simhash.keep_one(docs([]).limit(0)).isEmpty()
+    assert simhash.near_duplicates(docs([]).limit(0)).isEmpty()
+    d = docs([(1, "a b c"), (2, "a b c")]).withColumn("gone_0", F.lit(5)).withColumn("gone_id", F.lit(6))
+    assert [(r.doc_id, r.gone_0) for r in simhash.keep_one(d).collect()] == [(1, 5)]

@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``:
 
 1. toxicity: documents that the classifier chain (trained on ``labels``) calls toxic go.
-2. near-dedup: in the order of doc_ids, a document goes if its five-word shingles have a similarity of at least 0.8 with a
-   document that stays. MinHash bands name the pairs to compare; each is counted over whole texts.
+2. SimHash near-dedup: in the order of doc_ids, a document goes if its five-word shingles have a similarity of at least 0.8 with a
+   document that stays. Pigeonring chains of wide SimHash fingerprints name the pairs to compare; each is counted over whole texts.
 3. PII: every span of personal data is replaced by its kind.
 4. mixing: documents appear as often, and as far, as the mix to target weights takes them.
 5. byte-level BPE: each text becomes token ids, which are decoded again to show that nothing is lost.
@@ -43,7 +43,7 @@ def mix(spark, docs, sf_dir):
 
 def tokenize(spark, docs, sf_dir):
     ship(spark)
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.code(docs)
     same = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -2,20 +2,26 @@
 
 The words of a source, its documents one after another, form a stream that is cut into blocks of ``block`` words. A source's
 target becomes an exact quota of block draws: whole passes over the source, then a part of one more. A binary tree over the
-output shards splits all sources' quotas at each node by multivariate-hypergeometric draws, so every shard gets whole counts
-that add up to the quotas exactly. The draws of a source follow a keyed permutation of its blocks in each pass; a shard takes
-the run of draws that the tree gives it, so shards draw disjoint blocks, and each orders its blocks by a keyed hash.
+output shards splits the quotas of all sources and passes at each node by multivariate-hypergeometric draws, so every shard gets whole
+counts that add up to the quotas exactly.
+
+The blocks go down the same tree: a node permutes those it has by a key of its own and hands to its left child as many as the left quotas
+ask for, with its part of the blocks that are not drawn, and the rest to its right child. At the end each shard permutes its blocks and
+draws the first ones, as many as its quota; so shards draw disjoint blocks, and what is drawn follows from the tree's counts. A shard
+orders its draws by a keyed hash.
 
 Targets: sources in code-point order (null last) weigh ``weights`` in turn and share ``share`` of all words; a target stops
 at ``most`` times its source's words and the excess is shared again by weight among the others until none is above.
 
-Scale. Permutation, pass and shard of a block are functions of its number, so drawing needs no shuffle. Stream offsets are
-prefix sums at two levels: a source is dealt to chunks of about ``CHUNK`` documents by hash, so no task orders a hot source.
-The driver holds one row per source, and shards x sources counts, which ``split`` bounds at ``MOST_CELLS``.
+Scale. A block's way down the tree is a function of its number and the counts, so drawing needs no shuffle. Stream offsets are
+prefix sums at three levels: a source is dealt to chunks of about ``CHUNK`` documents by hash, so no task orders a hot source. Shards
+grow in number with the words. The driver holds one row per source, and shards x sources x passes counts; the shards are so few that
+these are at most ``MOST_CELLS``.
 
 Nulls and odd input: a null text has 0 words; a null source is a source of its own, after all others; documents without words
 are never drawn and take 0; null or repeated doc_ids are rows of their own, repeated rows too; an empty table gives an empty
-result; further columns are kept by ``mixed_documents`` only. The same input and seed give the same mix.
+result; further columns are kept by ``mixed_documents`` only, whatever their names. The same input and seed give the same mix: rows
+of one doc_id come in the order of their sizes and the hashes of their texts, and rows equal in these are alike.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql.window import Window
 from .common import WORD, cut, table
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BLOCK, CHUNK, SHARDS, MOST_CELLS = 128, 1024, 64, 5_000_000
+BLOCK, CHUNK, SHARDS, SHARD_WORDS, MOST_CELLS = 128, 256, 64, 64_000_000, 5_000_000
 _DRAWS = "array<struct<shard:int,place:bigint,pass:int,first:bigint,last:bigint>>"
 
 
@@ -56,15 +62,22 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: flo
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement are good; beyond the generator's range by the normal limit, within the exact bounds."""
+    """How many of n draws without replacement are good. Beyond the generator's range by inversion over all counts within 12 standard
+    deviations, whose probabilities come from their exact ratios."""
     low, high = max(0, n - bad), min(good, n)
     if low == high:
         return low
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
     total = good + bad
-    mean = n * (good / total)
-    return min(high, max(low, round(rng.normal(mean, (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5))))
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 64 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5)
+    first = max(low, mode - reach)
+    k = first + np.arange(min(high, mode + reach) - first, dtype="f8")
+    ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    cdf = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(cdf, rng.random() * cdf[-1], "right"))
 
 
 def split(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
@@ -119,17 +132,38 @@ def _key(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big")
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = (), text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+def drawn(b: np.ndarray, column: np.ndarray, n: np.ndarray, upto: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, place, drawn) of block b of a column's n blocks: its way down the tree. upto[s] are the quotas of the shards before s, by column."""
+    first, last = np.zeros(len(b), "i8"), np.full(len(b), len(upto) - 1)
+    place, pool = b.astype("i8"), n.astype("i8").copy()
+    node = lambda w: _mixed(keys[column[w]] + _mixed((first[w].astype("u8") << np.uint64(32)) + last[w].astype("u8")))
+    while len(way := np.flatnonzero(last - first > 1)):
+        place[way] = permuted(place[way], pool[way], node(way))
+        c, lo, hi = column[way], first[way], last[way]
+        middle = (lo + hi) // 2
+        quota, left = upto[hi, c] - upto[lo, c], upto[middle, c] - upto[lo, c]
+        room = left + (pool[way] - quota) * (middle - lo) // (hi - lo)  # blocks of the left child: its draws and its part of the others
+        right = place[way] >= room
+        place[way] -= np.where(right, room, 0)
+        pool[way] = np.where(right, pool[way] - room, room)
+        first[way], last[way] = np.where(right, middle, lo), np.where(right, hi, middle)
+    every = np.arange(len(b))
+    place = permuted(place, pool, node(every)) if len(b) else place
+    return first, place, place < upto[last, column] - upto[first, column]
+
+
+def mix(docs: DataFrame, keep: Sequence[str] = (), text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shards: int | None = None, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, the columns in ``keep`` as a struct ``kept``, size, source_size, target, taken, draws.
 
     ``draws`` has, for each block that the mix takes from the document, the shard, the place in the shard's order, the pass,
-    and the words [first, last) of the document.
+    and the words [first, last) of the document. shards: by default one for ``SHARD_WORDS`` words of the mix, ``SHARDS`` at least.
     """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))).alias("key"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.struct(F.lit(0).alias("_"), *(docs[c].alias(c) for c in keep)).alias("kept"),
+        F.xxhash64(F.col(text)).alias("tie"),
+        F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep))).alias("kept"),
     )
     if not keep:
         base = cut(base)  # small rows; with texts they are counted again instead
@@ -141,18 +175,23 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), text: str = "text", source: s
     n = [-(-w // block) for w in sizes]
     passes = [min(most, int(g // w)) if w else 0 for g, w in zip(goals, sizes, strict=True)]
     rest = [0 if p >= most or not w else min(k, round((g - p * w) / block)) for g, w, p, k in zip(goals, sizes, passes, n, strict=True)]
-    counts = split([p * k + r for p, k, r in zip(passes, n, rest, strict=True)], shards, seed)
-    ends = np.cumsum(counts, axis=0)  # shard s takes the draws of source i from ends[s - 1, i] to ends[s, i]
+    turns = most + 1
+    quotas = [k if turn < p else r if turn == p else 0 for p, k, r in zip(passes, n, rest, strict=True) for turn in range(turns)]  # by source, then pass
+    shards = shards or max(SHARDS, -(-sum(quotas) * block // SHARD_WORDS))
+    shards = max(1, min(shards, MOST_CELLS // max(1, len(quotas))))
+    counts = split(quotas, shards, seed)
     plan = docs.sparkSession.sparkContext.broadcast({
-        "at": {r.key: i for i, r in enumerate(found)}, "n": np.array(n, "i8"), "passes": np.array(passes, "i8"), "rest": np.array(rest, "i8"), "ends": ends,
-        "keys": np.array([[_key(seed, r.key, p) for p in range(most + 1)] for r in found], "u8").reshape(len(found), most + 1), "goals": np.array(goals, "f8"), "sizes": np.array(sizes, "i8"),
+        "at": {r.key: i for i, r in enumerate(found)}, "n": np.array(n, "i8"), "upto": np.concatenate([np.zeros((1, len(quotas)), "i8"), np.cumsum(counts, axis=0)]), "some": np.array(quotas, "i8") > 0,
+        "keys": np.array([_key(seed, r.key, turn) for r in found for turn in range(turns)], "u8"), "goals": np.array(goals, "f8"), "sizes": np.array(sizes, "i8"),
     })
 
     chunks = max(1, -(-sum(r.rows for r in found) // CHUNK))
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("key", "doc_id"), F.lit(chunks)))
-    before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("key", "chunk").agg(F.sum("size").alias("words")).select("key", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda by, order: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = cut(dealt.groupBy("key", "chunk").agg(F.sum("size").alias("words")).withColumn("range", F.expr(f"chunk div {CHUNK}")))
+    large = small.groupBy("key", "range").agg(F.sum("words").alias("words")).select("key", "range", upto(["key"], "range").alias("before"))
+    offsets = small.select("key", "range", "chunk", upto(["key", "range"], "chunk").alias("within")).join(large, ["key", "range"]).select("key", "chunk", (F.col("before") + F.col("within")).alias("offset"))
+    within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(cut(offsets), ["key", "chunk"])
     placed = placed.select("doc_id", "key", "size", (F.col("start") + F.col("offset")).alias("start"), "kept")
 
@@ -165,20 +204,16 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), text: str = "text", source: s
             number = last - first + 1
             row = np.repeat(np.arange(len(src)), number)
             b = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number) + first[row]
-            s = src[row]
             low, high = np.maximum(b * block, start[row]) - start[row], np.minimum((b + 1) * block, (start + size)[row]) - start[row]
             cols = []
-            for turn in range(most + 1):
-                place = permuted(b, p["n"][s], p["keys"][s, turn])
-                use = (turn < p["passes"][s]) | ((turn == p["passes"][s]) & (place < p["rest"][s]))
-                draw = place + turn * p["n"][s]
-                cols.append(np.stack([row[use], draw[use], np.full(use.sum(), turn), low[use], high[use], s[use]]))
-            row, draw, turn, low, high, s = np.concatenate(cols, axis=1)
-            shard = np.zeros(len(row), "i8")
-            for i in np.unique(s):
-                own = s == i
-                shard[own] = np.searchsorted(p["ends"][:, i], draw[own], "right")
-            place = _mixed(draw.astype("u8") + p["keys"][s, 0] + shard.astype("u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")
+            for turn in range(turns):
+                some = np.flatnonzero(p["some"][src[row] * turns + turn])
+                column = src[row[some]] * turns + turn
+                shard, place, use = drawn(b[some], column, p["n"][src[row[some]]], p["upto"], p["keys"])
+                own = some[use]
+                order = _mixed(place[use].astype("u8") + p["keys"][column[use]] + shard[use].astype("u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")
+                cols.append(np.stack([row[own], shard[use], order, np.full(len(own), turn), low[own], high[own]]))
+            row, shard, place, turn, low, high = np.concatenate(cols, axis=1)
             order = np.lexsort((low, turn, row))
             row, shard, place, turn, low, high = (x[order] for x in (row, shard, place, turn, low, high))
             taken = np.bincount(row, weights=high - low, minlength=len(src)).astype("i8")
@@ -200,15 +235,18 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """docs as the mix takes them, in the columns of docs: a row per document and pass in which any of it is taken.
 
     A pass that takes the whole document repeats its row as it is; one that takes a part has the words taken, joined by single spaces.
-    n_chars, if there, is counted again for a part.
+    n_chars, if there, is counted again for a part. A row goes to the shard of its first draw, and each shard is shuffled locally, by the
+    places of these draws.
     """
     m = mix(docs, keep=docs.columns, text=text, **options)
+    at = {c: f"kept.c{k}" for k, c in enumerate(docs.columns)}
     per = m.select("kept", "size", F.explode(F.expr("transform(array_distinct(draws.pass), p -> filter(draws, d -> d.pass = p))")).alias("own"))
-    part = F.expr(f"array_join(flatten(transform(own, d -> slice(regexp_extract_all(kept.`{text}`, r'{WORD}', 0), cast(d.first + 1 as int), cast(d.last - d.first as int)))), ' ')")
+    part = F.expr(f"array_join(flatten(transform(own, d -> slice(regexp_extract_all({at[text]}, r'{WORD}', 0), cast(d.first + 1 as int), cast(d.last - d.first as int)))), ' ')")
     whole = F.expr("aggregate(own, 0L, (s, d) -> s + d.last - d.first)") == F.col("size")
-    new = per.withColumn("new", F.when(whole, F.col(f"kept.{text}")).otherwise(part))
-    of = {text: F.col("new")} | ({"n_chars": F.when(whole, F.col("kept.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return new.select(*(of.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
+    new = per.select("kept", F.col("own")[0]["shard"].alias("shard"), F.col("own")[0]["place"].alias("place"), whole.alias("whole"), F.when(whole, F.col(at[text])).otherwise(part).alias("new"))
+    new = new.repartition("shard").sortWithinPartitions("shard", "place")
+    of = {text: F.col("new")} | ({"n_chars": F.when(F.col("whole"), F.col(at["n_chars"])).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return new.select(*(of.get(c, F.col(at[c])).alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,3 +220,60 @@ def test_pipeline_on_odd_rows(spark, docs, odd, tmp_path):
         now = spark.read.parquet(f"{base}/{name}")
     assert now.where("NOT round_trip").isEmpty() and now.count() > 0
     assert spark.read.parquet(f"{base}/simhash near-dedup").where("doc_id = 400").isEmpty()
+
+
+def test_mix_draws_what_the_tree_gives_each_shard(docs, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 900))) for i in range(200)] + [(3, "w w"), (3, "x x"), (3, "x x"), (None, "w"), (7, None)]
+    d = docs(rows)
+    kept, own_split = {}, mixing.split
+
+    def spy(quotas, shards, seed):
+        kept["quotas"], kept["counts"] = quotas, own_split(quotas, shards, seed)
+        return kept["counts"]
+
+    monkeypatch.setattr(mixing, "split", spy)
+    out = mixing.mix(d, shards=6).collect()
+    sizes = {}
+    for i, t in rows:
+        sizes[f"s{(i or 0) % 3}"] = sizes.get(f"s{(i or 0) % 3}", 0) + len((t or "").split())
+    goal = dict(zip(sorted(sizes), mixing.targets([sizes[k] for k in sorted(sizes)]), strict=True))
+    of = lambda r: f"s{(r.doc_id or 0) % 3}"
+    assert all(r.source_size == sizes[of(r)] and r.target == pytest.approx(goal[of(r)]) and r.taken == sum(x["last"] - x["first"] for x in r.draws) <= 2 * r.size for r in out)
+    # each shard has exactly the blocks that the tree's counts give it, none twice
+    seen = {(of(r), x["pass"], x["shard"], x["place"]) for r in out for x in r.draws}
+    for k, source in enumerate(sorted(sizes)):
+        for turn in range(3):
+            assert [sum(1 for s in seen if s[:3] == (source, turn, shard)) for shard in range(6)] == kept["counts"][:, 3 * k + turn].tolist()
+    for k, source in enumerate(sorted(sizes)):
+        assert abs(sum(r.taken for r in out if of(r) == source) - goal[source]) <= 2 * mixing.BLOCK
+    # the tree's counts decide what is taken, and the same ones give the same
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
+    taken = sorted(map(key, out))
+    assert sorted(map(key, mixing.mix(d, shards=6).collect())) == taken
+
+    def all_to_one(quotas, shards, seed):
+        counts = np.zeros((shards, len(quotas)), "i8")
+        counts[0] = quotas
+        return counts
+
+    monkeypatch.setattr(mixing, "split", all_to_one)
+    assert sorted(map(key, mixing.mix(d, shards=6).collect())) != taken
+
+
+def test_large_draws_are_hypergeometric():
+    rng = np.random.default_rng(5)
+    good, bad, n = 3 * 10**11, 7 * 10**11, 4 * 10**11
+    got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(30)], "f8")
+    sd = (n * 0.3 * 0.7 * 0.6) ** 0.5
+    assert abs(got.mean() - 0.3 * n) < 4 * sd / 30**0.5 and 0.6 < got.std() / sd < 1.5
+    assert mixing.hypergeometric(rng, 10**12, 0, 5) == 5 and mixing.hypergeometric(rng, 1, 10**12, 10**12 + 1) == 1
+
+
+def test_mix_of_many_sources(spark):
+    d = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id) AS source", "'a b c' AS text", "1 AS _", "2 AS c0")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "MOST_CELLS", 3 * 3000 * 4)
+        out = mixing.mix(d).select("taken").collect()
+        assert len(out) == 3000 and max(r.taken for r in out) <= 6
+        assert mixing.mixed_documents(d).columns == d.columns

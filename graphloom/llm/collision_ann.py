@@ -5,12 +5,14 @@ inner product is the nearest neighbour.
 
 Index. Each data block keeps, for each of ``PROJECTIONS`` random directions (orthogonal in groups), its vectors' projections as one
 sorted array. A query opens windows centred on its own projections; virtual rehashing widens all windows by the factor
-``WIDEN`` at a time. A vector that lies in at least ``COLLISIONS`` of the windows is a candidate; widening stops once a block has
-``VERIFY`` of its vectors (and at least k) as candidates, or holds no more. All candidates are verified by their inner product
-in double precision, summed in the order of the components; every row is indexed.
+``WIDEN`` at a time. Widening stops once ``VERIFY`` of a block's vectors and ``LEAST`` more (or all there are) lie in at least
+``COLLISIONS`` of the windows. Of these, the vectors whose collisions exceed the threshold that leaves so many are verified by their inner
+product in double precision, summed in the order of the components; every row is indexed.
 
 Scale. Rows and queries are dealt to blocks of bounded size; a cell, one query block against one data block, fits one task and
-returns k rows for each query, and a window per query merges its cells.
+returns k rows for each query, and a window per query merges its cells. Arrays are sorted again in each cell, which is a fortieth of its
+work. Every query meets every block: where vectors have no clusters, windows that hold the neighbours hold most rows of each projection,
+so a join of windows with sorted arrays over the whole table would move more than the table for each query.
 
 Nulls and odd input: vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id, take no
 part; vectors of another length than the query's are no candidates; a query's own row is every row of its vec_id, and repeated
@@ -32,7 +34,7 @@ from pyspark.sql.window import Window
 from .cap_filters import usable
 from .common import cut, table, whole_runs
 
-PROJECTIONS, COLLISIONS, WIDEN, START, VERIFY, BLOCK, SEED = 64, 0.6, 1.25, 0.05, 0.5, 4096, 5
+PROJECTIONS, COLLISIONS, WIDEN, START, VERIFY, LEAST, BLOCK, SEED = 192, 0.8, 1.1, 0.12, 0.04, 80, 4096, 5
 
 
 @lru_cache(maxsize=8)
@@ -54,10 +56,10 @@ class Block:
         self.order = np.argsort(places, axis=0, kind="stable").T.astype("i4").copy()
         self.sorted = np.take_along_axis(places.T, self.order, axis=1)
 
-    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each query, the vectors in enough of its windows."""
+    def candidates(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query, the vectors with the most collisions among those in enough of its windows, without those of its own id."""
         n, m = len(self.x), self.order.shape[0]
-        wanted, enough = min(n, max(least, int(np.ceil(VERIFY * n)))), int(np.ceil(COLLISIONS * m))
+        enough, budget = int(np.ceil(COLLISIONS * m)), max(k, int(np.ceil(VERIFY * n)) + LEAST)
         scale = self.longest / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
         centres = np.column_stack([queries * scale, np.zeros(len(queries))]) @ self.turn
         at = np.stack([np.searchsorted(self.sorted[j], centres[:, j]) for j in range(m)], axis=1)
@@ -65,6 +67,8 @@ class Block:
         half, ends = START * self.longest, []
         flat = [self.order[j] for j in range(m)]
         for q in range(len(queries)):
+            other = ids != own[q]
+            wanted = min(int(other.sum()), budget)
             counts, low, high, level = np.zeros(n, "i8"), at[q], at[q], 0
             while True:
                 if level == len(ends):
@@ -76,9 +80,11 @@ class Block:
                 if added:
                     counts += np.bincount(np.concatenate(added), minlength=n)
                 low, high, level = low_, high_, level + 1
-                hit = np.flatnonzero(counts >= enough)
+                hit = np.flatnonzero((counts >= enough) & other)
                 if len(hit) >= wanted:
                     break
+            if len(hit) > wanted > 0:
+                hit = hit[counts[hit] >= np.partition(counts[hit], len(hit) - wanted)[len(hit) - wanted]]
             yield hit
 
 
@@ -97,8 +103,8 @@ def _search(k: int):
                     continue
                 block, ids, queries = Block(x[data], float(longest[first])), vec_id[first:last][data], x[asks]
                 out = [[], [], [], []]
-                for q, (own, hit) in enumerate(zip(vec_id[first:last][asks], block.candidates(queries, k + 1), strict=True)):
-                    hit = hit[ids[hit] != own]
+                own_ids = vec_id[first:last][asks]
+                for q, (own, hit) in enumerate(zip(own_ids, block.candidates(queries, k, ids, own_ids), strict=True)):
                     rough = block.x[hit] @ queries[q]
                     if len(hit) > k + 8:
                         hit = hit[rough >= np.partition(rough, len(rough) - k - 8)[len(rough) - k - 8]]

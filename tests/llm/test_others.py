@@ -277,3 +277,32 @@ def test_mix_of_many_sources(spark):
         out = mixing.mix(d).select("taken").collect()
         assert len(out) == 3000 and max(r.taken for r in out) <= 6
         assert mixing.mixed_documents(d).columns == d.columns
+
+
+def test_few_rows_are_verified():
+    """Recall and the share of rows verified, with the query's own parameters, on vectors without clusters and with some."""
+    rng = np.random.default_rng(8)
+    for spread in (None, 0.8):
+        x = rng.standard_normal((4096, 64))
+        if spread:
+            x = spread * x + 2 * rng.standard_normal((10, 64))[rng.integers(0, 10, 4096)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids, asks = np.arange(4096), np.arange(0, 4096, 80)
+        hits = list(collision_ann.Block(x, 1.0).candidates(x[asks], 20, ids, asks))
+        score = x[asks] @ x.T
+        score[np.arange(len(asks)), asks] = -9
+        best = np.argsort(-score, axis=1)[:, :20]
+        recall = np.mean([np.isin(b, h).mean() for b, h in zip(best, hits)])
+        share = sum(map(len, hits)) / len(asks) / len(x)
+        print(f"spread {spread}: recall {recall:.3f}, {share:.3f} of all rows verified")
+        assert recall >= 0.9 and share < 0.1 and not any(a in h for a, h in zip(asks, hits))
+
+
+def test_repeated_ids_leave_other_candidates(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((30, 8)).astype("f4").tolist()
+    rows = [(0, x) for x in v[:24]] + [(1 + i, x) for i, x in enumerate(v[24:])]
+    got = collision_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 1, k=20).collect()
+    assert len(got) == 20 and {r.query_id for r in got} == {1}
+    got = collision_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=20).collect()
+    assert len(got) == 24 * 6 and {r.vec_id for r in got} == set(range(1, 7))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import steps, table
 from .pretokens import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -194,16 +194,6 @@ def _worker(path: str, pattern: str) -> Chunks:
     return Chunks(Encoder(read_ranks(path)), pattern)
 
 
-def _steps(batch: pa.RecordBatch, at: int, most: int = STEP) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes in column ``at``, a row at least."""
-    column = batch.column(at)
-    sizes = np.diff(np.frombuffer(column.buffers()[1], "i4" if column.type in (pa.string(), pa.binary()) else "i8")[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, "i8")
-    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype="i8") // most)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _lists(ids: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, ids)]) // 4
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "i4")), type=pa.list_(pa.field("element", pa.int32(), False)))
@@ -225,7 +215,7 @@ def code(docs: DataFrame, path: str | None = None, pattern: str = public_tokeniz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker(path, pattern)
         for whole in batches:
-            for batch in _steps(whole, at):
+            for batch in steps(whole, at, STEP):
                 ids = [known.text(x.as_py()) if x.is_valid else b"" for x in batch.column(at)]
                 arrays = [_lists(ids), *([pa.array(map(known.bytes_of, ids), pa.binary(), size=len(ids))] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *arrays], names=schema.names)

@@ -73,6 +73,16 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000)
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def steps(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes in column ``at``, a row at least."""
+    column = batch.column(at)
+    sizes = np.diff(np.frombuffer(column.buffers()[1], "i4" if column.type in (pa.string(), pa.binary()) else "i8")[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, "i8")
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype="i8") // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For vertices 0..n-1 joined by edges (a, b): the smallest vertex of each one's component."""
     label = np.arange(n)

@@ -81,3 +81,29 @@ def test_query_digests(spark, library, docs, odd, tmp_path):
         ids = library.encode_ordinary(x or "")
         want.append((i or -1, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()))
     assert got == sorted(want)
+
+
+def test_tiers_hold_all_alphabets(monkeypatch):
+    path = P.path(token_counts.VOCABULARY)
+    t, _ = token_counts.tokenizer(path)
+    rows = ["привет мир, как дела мир", "你好 世界 你好", "😀 😀 ok 😀", "γειά σου κόσμε", "naïve café", "a  b c\n\n d", "ⅷ ١٢٣ ꙮ"] * 3
+    asked = []
+    known = token_counts.Tiers({}, token_counts.Cache())
+    own = token_counts._lengths
+    monkeypatch.setattr(token_counts, "_lengths", lambda t, x: asked.extend(x) or own(t, x))
+    for x in rows:
+        pieces = token_counts.splitter(path)(x)
+        known.learn(set(pieces), t)
+        assert "".join(pieces) == x and sum(map(known.__getitem__, pieces)) == len(t.encode(x, add_special_tokens=False))
+    assert len(asked) == len(set(asked)) and not set(asked) & set(rows)  # every pre-token once, no whole text
+    monkeypatch.setattr(token_counts, "CACHE", 2_000)
+    for x in rows:
+        known.learn(set(p := token_counts.splitter(path)(x)), t)
+        assert known.cache.size <= 4_000 and sum(map(known.__getitem__, p)) == len(t.encode(x, add_special_tokens=False))
+
+
+def test_no_pre_token_is_shuffled(spark, docs, odd, capsys):
+    out = token_counts.count(docs(odd))
+    out.explain("formatted")
+    assert "Exchange" not in capsys.readouterr().out
+    assert len(token_counts.frequent(docs([(i, "a b c " * i) for i in range(50)]), P.path(token_counts.VOCABULARY))) <= token_counts.FREQUENT

@@ -4,24 +4,28 @@ What goes: each byte covered by a ``width``-byte string that also starts in a do
 documents, overlaps count, and strings are judged on the input.
 
 1. Every ``width``-byte window has a minimizer, the smallest hash of its ``GRAM``-byte parts, so equal windows have equal
-   minimizers. Minimizers that only one document has cannot be repeated; tasks exchange the hashes alone to find the others.
+   minimizers. Minimizers that only one document has cannot be repeated; tasks exchange the hashes alone to find the others. What two
+   documents of one task share is known to be repeated at once, and only its smallest document is exchanged.
 2. The texts of the others are cut into runs of windows with one minimizer, and runs are dealt to buckets by it: all copies of a
-   window meet in one bucket, and only text that may be repeated moves.
+   window meet in one bucket, and only text that may be repeated moves. Of equal runs in one task only those of the smallest document move:
+   the others are repeated for certain. Runs of minimizers that a sample shows to be frequent are cut and dealt by a second minimizer too.
 3. A bucket's distinct runs form a collection of strings, in shards of bounded size. Each shard is suffix-sorted by itself and gives its
-   Burrows-Wheeler transform and LF map. The merged order of all shards comes from interleave refinement: starting from the
+   Burrows-Wheeler transform. The merged order of all shards comes from interleave refinement: starting from the
    shards one after another, each round stably deals the rows by the symbol before them, which orders them by one symbol more
-   without comparing suffixes again. A boundary that appears in round l marks a common prefix of l - 1 symbols; after ``width``
+   without comparing suffixes again; which row of its shard comes next follows from counting symbols in the transform, as rows are in the order of
+   their suffixes. A boundary that appears in round l marks a common prefix of l - 1 symbols; after ``width``
    rounds the blocks without boundary are the repeated intervals. A row whose block has no other row has a unique prefix, as has
    whatever extends it to the left, and leaves the refinement.
 4. Each interval's smallest doc_id goes to all its windows, and each occurrence keeps the windows whose smallest doc_id is below its own.
 5. The windows of a document are united and cut from its text.
 
 Scale. No step sees the whole corpus; buckets grow in number with the input, texts move compressed, distinct runs are sorted once
-whatever their copies, and a frequent run costs its bucket some 30 bytes for each occurrence.
+whatever their copies. A run that all documents have costs its bucket one row for every ``FLUSH`` bytes of text, and what differs around it is
+dealt apart by the second minimizer.
 
 Nulls and odd input: a null text counts as empty; texts shorter than a window keep all bytes; rows without doc_id lose nothing and
 take nothing from others; of rows with one doc_id none is smaller, so they don't shorten each other (repeated rows give equal
-results); an empty table gives an empty result; further columns are ignored by ``repeats`` and kept by ``without_repeats``.
+results); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +45,14 @@ from .common import table
 WIDTH, GRAM = 50, 20
 #: Bytes of text that a bucket stands for; of runs that a task gathers before it sends them; symbols of a shard; end of a string (no byte of UTF-8).
 BUCKET, FLUSH, SHARD, END = 4 << 20, 32 << 20, 1 << 20, 0xFF
+#: One document in so many tells frequent minimizers: those that ``HOT`` of these have, the ``MOST_HOT`` most frequent ones (8 bytes each in a broadcast).
+#: They only decide how runs are dealt.
+SAMPLE, HOT, MOST_HOT = 64, 64, 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-def minimizers(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """The smallest hash of the GRAM-byte parts of each window, by window."""
+def minimizers(text: bytes, width: int = WIDTH, turn: int = 0) -> np.ndarray:
+    """The smallest hash of the GRAM-byte parts of each window, by window; turn 1: by another hash."""
     grams, windows = len(text) - GRAM + 1, len(text) - width + 1
     if windows <= 0:
         return np.empty(0, "u8")
@@ -57,6 +65,9 @@ def minimizers(text: bytes, width: int = WIDTH) -> np.ndarray:
     x += words[GRAM - 8 : GRAM - 8 + grams]
     x *= _C
     x ^= x >> np.uint64(31)
+    if turn:
+        x *= _B
+        x ^= x >> np.uint64(30)
     span, size = width - GRAM + 1, 1
     while 2 * size <= span:
         x = np.minimum(x[:-size], x[size:])
@@ -104,11 +115,37 @@ def _parted(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(buckets)).astype("i4"), (h // np.uint64(buckets)).astype("u4")
 
 
-def _hashes(width: int, buckets: int):
-    """(bucket, data) of (doc_id, text): the distinct minimizers of each document."""
+def _beside(number: int, buckets: int) -> int:
+    """A negative bucket, for what is known already and only passes through the exchange; spread over tasks and flushes."""
+    task = TaskContext.get()
+    return -1 - ((task.partitionId() if task else 0) * 7919 + number) % buckets
+
+
+def _among(h: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Whether each of h is in the sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(h), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h
+
+
+def _frequent(base: DataFrame, width: int) -> np.ndarray:
+    """The sorted minimizers that many documents have, by a sample of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, rows = [], [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(minimizers(text.as_buffer().to_pybytes(), width)).view("i8"))], ["h"])
+
+    own = base.where(F.octet_length("text") >= width).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = own.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= HOT)
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(MOST_HOT).collect()], "i8").view("u8"))
+
+
+def _hashes(width: int, buckets: int, frequent):
+    """(bucket, data) of (doc_id, text): the distinct minimizers of each document that this task doesn't find repeated, and, in negative buckets, those that it does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs, rows, number = [], [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.unique(minimizers(text.as_buffer().to_pybytes(), width)) if text.is_valid and len(text.as_buffer() or b"") >= width else ()
@@ -117,15 +154,28 @@ def _hashes(width: int, buckets: int):
                     docs.append(doc)
                     rows += len(h)
                 if rows * 16 > FLUSH:
-                    yield from _flush(held, docs)
-                    held, docs, rows = [], [], 0
+                    yield from _flush(held, docs, number)
+                    held, docs, rows, number = [], [], 0, number + 1
         if held:
-            yield from _flush(held, docs)
+            yield from _flush(held, docs, number)
 
-    def _flush(held, docs):
+    def _flush(held, docs, number):
         h, doc = np.concatenate(held), np.repeat(np.array(docs, "i8"), [len(x) for x in held])
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(h)] - 1
+        hot = _among(h[first], frequent.value)
+        shared = (doc[first] != doc[last]) | hot
+        send = ~np.repeat(shared, last - first + 1) | (new & np.repeat(shared & ~hot, last - first + 1))
         bucket, rest = _parted(h, buckets)
-        yield from _send(_blobs(bucket, [rest, doc]), ["bucket", "data"])
+        many = np.repeat(shared, last - first + 1)
+        yield from _send(_blobs(bucket[send], [rest[send], doc[send], many[send].astype("u1")]), ["bucket", "data"])
+        if many.any():
+            bucket, rest, doc = bucket[many], rest[many], doc[many]
+            order = np.argsort(doc, kind="stable")
+            yield from _send([(_beside(number, buckets), _packed(doc[order], bucket[order].astype("u4"), rest[order]))], ["bucket", "data"])
 
     return run
 
@@ -145,81 +195,110 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, data): the minimizers of each document that another document has too, from one bucket."""
+    """(doc_id, data): the minimizers of each document that another document has too, from one bucket. data: pairs of bucket and rest."""
+
+    def out(doc, pairs):
+        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
+        for at in range(0, len(edges) - 1, 5000):
+            own = edges[at : at + 5001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([pairs[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["doc_id", "data"])
+
     for bucket, rows in _bucket_rows(batches):
-        parts = [_unpacked(r, "u4", "i8") for r in rows]
-        h, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if bucket < 0:
+            for row in rows:
+                doc, of, rest = _unpacked(row, "i8", "u4", "u4")
+                yield from out(doc, np.stack([of, rest], axis=1))
+            continue
+        parts = [_unpacked(r, "u4", "i8", "u1") for r in rows]
+        h, doc, known = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
+        h, doc, known = h[order], doc[order], known[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         last = np.r_[first[1:], len(h)] - 1
-        many = np.repeat(doc[first] != doc[last], last - first + 1)
+        many = np.repeat((doc[first] != doc[last]) | (np.maximum.reduceat(known, first) > 0), last - first + 1) & (known == 0)
         h, doc = h[many], doc[many]
         order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
-        head = np.array([bucket], "u4").tobytes()
-        for at in range(0, len(edges) - 1, 5000):
-            own = edges[at : at + 5001]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([head + h[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["doc_id", "data"])
+        yield from out(doc[order], np.stack([np.full(len(order), bucket, "u4"), h[order]], axis=1))
 
 
-def _runs(width: int, buckets: int):
-    """(bucket, data) of (doc_id, copy, z, found): the runs of windows whose minimizer is among the found ones."""
+def _runs(width: int, buckets: int, frequent):
+    """(bucket, data) of (doc_id, copy, z, found): the runs of windows whose minimizer is among the found ones, and, in negative buckets, (doc_id, copy, first, last)
+    of the windows of runs that a smaller document of this task has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, texts, size = [], [], 0
+        rows, texts, size, number = [], [], 0, 0
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc, copy, z, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 text = unzip.decompress(z.as_buffer().to_pybytes())
-                parts = [np.frombuffer(x.as_buffer(), "u4").astype("u8") for x in found.values]
-                known = np.sort(np.concatenate([(p[0] << np.uint64(32)) | p[1:] for p in parts]))
+                pairs = np.concatenate([np.frombuffer(x.as_buffer(), "u4") for x in found.values]).astype("u8").reshape(-1, 2)
+                known = np.sort((pairs[:, 0] << np.uint64(32)) | pairs[:, 1])
                 h = minimizers(text, width)
                 edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(1, int)
                 bucket, rest = _parted(h[edges[:-1]], buckets)
-                own = (bucket.astype("u8") << np.uint64(32)) | rest
-                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                use = np.flatnonzero(known[place] == own)
+                use = _among((bucket.astype("u8") << np.uint64(32)) | rest, known)
+                hot = use & _among(h[edges[:-1]], frequent.value)
+                if hot.any():
+                    length = np.diff(edges)
+                    turned = np.where(np.repeat(hot, length), (h ^ minimizers(text, width, 1)) * _A, h)
+                    new = np.r_[True, turned[1:] != turned[:-1]]
+                    new[edges[:-1]] = True
+                    use = np.repeat(use, length)[new]
+                    edges = np.r_[np.flatnonzero(new), len(h)]
+                    bucket, rest = _parted(turned[edges[:-1]], buckets)
+                use = np.flatnonzero(use)
                 first, last = edges[:-1][use], edges[1:][use]
                 texts += [text[a : b + width - 1] for a, b in zip(first.tolist(), last.tolist())]
                 rows.append((bucket[use], rest[use], np.full(len(use), doc), np.full(len(use), copy), first, last - first + width - 1))
                 size += int((last - first).sum()) + 90 * len(use)
                 if size > FLUSH:
-                    yield from _flush(rows, texts)
-                    rows, texts, size = [], [], 0
+                    yield from _flush(rows, texts, number)
+                    rows, texts, size, number = [], [], 0, number + 1
         if rows:
-            yield from _flush(rows, texts)
+            yield from _flush(rows, texts, number)
 
-    def _flush(rows, texts):
+    def _flush(rows, texts, number):
         bucket, rest, doc, copy, first, size = (np.concatenate(x) for x in zip(*rows, strict=True))
-        yield from _send(_blobs(bucket, [rest, doc.astype("i8"), copy.astype("i8"), first.astype("u4"), size.astype("u4")], texts), ["bucket", "data"])
+        doc, copy, first, size = doc.astype("i8"), copy.astype("i8"), first.astype("u4"), size.astype("u4")
+        of: dict[bytes, int] = {}
+        own = np.fromiter((of.setdefault(x, len(of)) for x in texts), "i8", len(texts))
+        smallest = np.full(len(of), np.iinfo("i8").max)
+        np.minimum.at(smallest, own, doc)
+        sent = doc == smallest[own]
+        if not sent.all():
+            yield from _send([(_beside(number, buckets), _packed(doc[~sent], copy[~sent], first[~sent], size[~sent]))], ["bucket", "data"])
+        texts = [texts[k] for k in np.flatnonzero(sent).tolist()]
+        yield from _send(_blobs(bucket[sent], [rest[sent], doc[sent], copy[sent], first[sent], size[sent]], texts), ["bucket", "data"])
 
     return run
 
 
 class Shard:
-    """Strings, each closed by END: their suffixes in order (of the first ``deep`` symbols at least), the symbol before each, and the LF map."""
+    """Strings, each closed by END: their suffixes in order (ends by place), and the Burrows-Wheeler transform, the symbol before each."""
 
-    def __init__(self, text: np.ndarray, deep: int):
+    def __init__(self, text: np.ndarray, at_once: int = 8):
+        """at_once: the symbols that the first of the sorts compares, 8 at most; each further one doubles them until all suffixes differ."""
         n = len(text)
-        padded = np.concatenate([text, np.full(8, END, "u1")])
+        padded = np.concatenate([text, np.full(at_once, END, "u1")])
         key = np.zeros(n, "u8")
         open_ = np.ones(n, bool)  # whether no string has ended yet
-        for k in range(8):
+        for k in range(at_once):
             symbol = padded[k : k + n]
             key = (key << np.uint64(8)) | np.where(open_, symbol, 0).astype("u8")
             open_ &= symbol != END
         self.order = np.argsort(key).astype("i4")
+        ended = np.flatnonzero(~open_[self.order])  # suffixes that have ended are alone; equal ones come by place
+        own = self.order[ended]
+        self.order[ended] = own[np.lexsort((own, key[own]))]
         sorted_ = key[self.order]
-        new = np.r_[True, sorted_[1:] != sorted_[:-1]] | ~open_[self.order]  # suffixes that have ended are alone
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]] | ~open_[self.order]
         first = np.flatnonzero(new)
         rank = np.empty(n, "i4")  # the place of the first suffix that is equal so far
         rank[self.order] = np.repeat(first, np.diff(np.r_[first, n]))
         many = np.repeat(np.diff(np.r_[first, n]) > 1, np.diff(np.r_[first, n]))
-        size, left = 8, self.order[many]
-        del key, sorted_, new, first, many, open_
-        while size < deep and len(left):
+        size, left = at_once, self.order[many]
+        del key, sorted_, new, first, many, open_, own, ended
+        while len(left):
             # doubling: the rank of what follows orders those that are still together, in their own places
             key = (rank[left].astype("u8") << np.uint64(32)) | rank[left + size].astype("u8")
             by = np.argsort(key)
@@ -233,20 +312,23 @@ class Shard:
             rank[left] = np.repeat((old + in_old)[start], length)
             left, size = left[np.repeat(length > 1, length)], 2 * size
         self.before = text[self.order - 1]  # of the first suffix: the last END
-        place = np.empty(n, "i4")
-        place[self.order] = np.arange(n, dtype="i4")
-        self.lf = place[self.order - 1]  # the row of the suffix one symbol longer
+
+    def lf(self) -> np.ndarray:
+        """The row of the suffix one symbol longer: the transform's k-th c is the k-th row that starts with c, as rows are in the order of their suffixes."""
+        place = np.empty(len(self.before), "i4")
+        place[np.argsort(self.before, kind="stable")] = np.arange(len(place), dtype="i4")
+        return place
 
 
 def intervals(shards: list[Shard], width: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, block): the rows (numbered through all shards) that share their first ``width`` symbols with another row, by block.
+    """(rows, block): from the shards' transforms, the rows (numbered through all shards) that share their first ``width`` symbols with another row, by block.
 
     ends: whether a row is ``width`` or more symbols inside its string, where a window can end. A window's row comes from the row of its
     end, one symbol further left each round, so the rounds need no other rows.
     """
-    offsets = np.cumsum([0, *(len(s.order) for s in shards)])
+    offsets = np.cumsum([0, *(len(s.before) for s in shards)])
     before = np.concatenate([s.before for s in shards])
-    lf = np.concatenate([s.lf + np.int32(o) for s, o in zip(shards, offsets)])
+    lf = np.concatenate([s.lf() + np.int32(o) for s, o in zip(shards, offsets)])
     rows = np.arange(offsets[-1], dtype="i4")  # the interleave: the shards one after another
     rows = rows if ends is None else rows[ends]
     block = np.zeros(len(rows), "i4")
@@ -267,7 +349,12 @@ def _judged(width: int):
     """(doc_id, copy, first, last) of windows that also start in a document with a smaller doc_id, from whole buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, packed in _bucket_rows(batches):
+        for bucket, packed in _bucket_rows(batches):
+            if bucket < 0:
+                for row in packed:
+                    doc, copy, first, size = _unpacked(row, "i8", "i8", "u4", "u4")
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(copy), pa.array(first.astype("i4")), pa.array((first + size - width).astype("i4"))], ["doc_id", "copy", "first", "last"])
+                continue
             number: dict[bytes, int] = {}
             strings, cols = [], []
             for data in packed:
@@ -300,11 +387,11 @@ def _judged(width: int):
                 total += len(strings[i]) + 1
                 if total >= SHARD or k + 1 == len(order):
                     text = np.frombuffer(b"".join([strings[i] + b"\xff" for i in held]), "u1")
-                    shards.append(Shard(text, width + 1))
+                    shards.append(Shard(text))
                     n = np.array([len(strings[i]) + 1 for i in held])
                     number_of.append(np.repeat(np.array(held, "i4"), n)[shards[-1].order])
                     offset_of.append((np.arange(len(text), dtype="i4") - np.repeat((np.cumsum(n) - n).astype("i4"), n))[shards[-1].order])
-                    shards[-1].order = np.empty(len(text), "i1")  # not needed any more but for its length
+                    shards[-1].order = None  # the transform carries the merge
                     held, total = [], 0
             rows, block = intervals(shards, width, np.concatenate(offset_of) >= width)
             if len(rows):
@@ -346,11 +433,12 @@ def spans(docs: DataFrame, width: int = WIDTH, text: str = "text") -> tuple[Data
     zipped = texts.mapInArrow(_zipped, "doc_id long, copy long, z binary")
     named = zipped.where("doc_id IS NOT NULL")  # alike in both joins, so that one exchange serves both
     usable = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(usable, width))
     bucketed = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    hashes = bucketed(usable.mapInArrow(_hashes(width, buckets), "bucket int, data binary"))
+    hashes = bucketed(usable.mapInArrow(_hashes(width, buckets, frequent), "bucket int, data binary"))
     repeated = hashes.mapInArrow(_repeated, "doc_id long, data binary").groupBy("doc_id").agg(F.collect_list("data").alias("found"))
     flagged = named.join(repeated, "doc_id").select("doc_id", "copy", "z", "found")
-    runs = bucketed(flagged.mapInArrow(_runs(width, buckets), "bucket int, data binary"))
+    runs = bucketed(flagged.mapInArrow(_runs(width, buckets, frequent), "bucket int, data binary"))
     found = runs.mapInArrow(_judged(width), "doc_id long, copy long, first int, last int")
     return zipped, found.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "first", "last")).alias("spans"))
 

@@ -237,3 +237,43 @@ def test_keep_one_of_nothing(docs):
     assert simhash.near_duplicates(docs([]).limit(0)).isEmpty()
     d = docs([(1, "a b c"), (2, "a b c")]).withColumn("gone_0", F.lit(5)).withColumn("gone_id", F.lit(6))
     assert [(r.doc_id, r.gone_0) for r in simhash.keep_one(d).collect()] == [(1, 5)]
+
+
+def test_transforms_carry_the_merge(monkeypatch):
+    """The merge of shards that are not in suffix order goes wrong; in order, their transforms give back the text."""
+    rng = random.Random(18)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randrange(6, 40))).encode() for _ in range(60)]
+    texts = [np.frombuffer(b"".join(s + b"\xff" for s in part), "u1") for part in (strings[:20], strings[20:45], strings[45:])]
+    count = Counter(s[k : k + 6] for s in strings for k in range(len(s) - 5))
+    want = Counter({s: n for s, n in count.items() if n > 1})
+
+    def found(shards):
+        whole = [t.tobytes() for t in texts]
+        place = [w[p : p + 6] for w, s in zip(whole, shards) for p in s.order]
+        rows, block = bwt_dedup.intervals(shards, 6)
+        same = {}
+        return Counter(place[r] for r in rows), all(same.setdefault(b, place[r]) == place[r] for r, b in zip(rows, block))
+
+    shards = [bwt_dedup.Shard(t) for t in texts]
+    assert found(shards) == (want, True)
+    for t, s in zip(texts, shards):
+        suffixes = [t.tobytes()[p:].split(b"\xff")[0] + b"\xff" for p in s.order]
+        assert suffixes == sorted(suffixes)
+    for t, s in zip(texts, shards):
+        s.order = np.arange(len(t), dtype="i4")
+        s.before = t[s.order - 1]
+    assert found(shards) != (want, True)
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_bwt_passage_in_every_document(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+    monkeypatch.setattr(bwt_dedup, "SAMPLE", 2)
+    monkeypatch.setattr(bwt_dedup, "FLUSH", 40_000)
+    rng = random.Random(19)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    word = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(i, word(rng.randrange(200)) + passage + word(rng.randrange(200))) for i in rng.sample(range(1000), 300)]
+    rows += [(2000, passage[:60] + passage[:60]), (2001, passage[10:70]), (3, passage), (3, passage + "tail"), (None, passage)]
+    got = Counter(tuple(r)[:5] for r in bwt_dedup.repeats(docs(rows)).collect())
+    assert got == brute_repeats([(i, t.encode()) for i, t in rows])

@@ -167,8 +167,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), text: str = "text", source: s
     )
     if not keep:
         base = cut(base)  # small rows; with texts they are counted again instead
-    sums = cut(base.withColumn("parts", F.lit(0)).groupBy("key").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
-    found = sums.collect()  # a row per source
+    found = base.groupBy("key").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()  # a row per source
     found = sorted(found, key=lambda r: (r.key == "n", r.key))
     sizes = [r.words for r in found]
     goals = targets(sizes, weights, share, most)
@@ -188,11 +187,11 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), text: str = "text", source: s
     chunks = max(1, -(-sum(r.rows for r in found) // CHUNK))
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("key", "doc_id"), F.lit(chunks)))
     upto = lambda by, order: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    small = cut(dealt.groupBy("key", "chunk").agg(F.sum("size").alias("words")).withColumn("range", F.expr(f"chunk div {CHUNK}")))
+    small = dealt.groupBy("key", "chunk").agg(F.sum("size").alias("words")).withColumn("range", F.expr(f"chunk div {CHUNK}"))
     large = small.groupBy("key", "range").agg(F.sum("words").alias("words")).select("key", "range", upto(["key"], "range").alias("before"))
     offsets = small.select("key", "range", "chunk", upto(["key", "range"], "chunk").alias("within")).join(large, ["key", "range"]).select("key", "chunk", (F.col("before") + F.col("within")).alias("offset"))
     within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(cut(offsets), ["key", "chunk"])
+    placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["key", "chunk"])
     placed = placed.select("doc_id", "key", "size", (F.col("start") + F.col("offset")).alias("start"), "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

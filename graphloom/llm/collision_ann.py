@@ -4,13 +4,13 @@ Reduction. Vectors get one more component that brings all to the largest length,
 inner product is the nearest neighbour.
 
 Index. Each data block keeps, for each of ``PROJECTIONS`` random directions (orthogonal in groups), its vectors' projections as one
-sorted array. A query opens windows centred on its own projections; virtual rehashing widens all windows by the factor
-``WIDEN`` at a time. Widening stops once ``VERIFY`` of a block's vectors and ``LEAST`` more (or all there are) lie in at least
+sorted array, cut into ``BUCKETS`` buckets. A query opens windows centred on its own projections, each up to the ends of its buckets;
+virtual rehashing widens all windows by the factor ``WIDEN`` at a time. Widening stops once ``VERIFY`` of a block's vectors and ``LEAST`` more (or all there are) lie in at least
 ``COLLISIONS`` of the windows. Of these, the vectors whose collisions exceed the threshold that leaves so many are verified by their inner
 product in double precision, summed in the order of the components; every row is indexed.
 
 Scale. Rows and queries are dealt to blocks of bounded size; a cell, one query block against one data block, fits one task and
-returns k rows for each query, and a window per query merges its cells. Arrays are sorted again in each cell, which is a fortieth of its
+returns k rows for each query, and a window per query merges its cells. Arrays are sorted again in each cell, which is a sixth of its
 work. Every query meets every block: where vectors have no clusters, windows that hold the neighbours hold most rows of each projection,
 so a join of windows with sorted arrays over the whole table would move more than the table for each query.
 
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .cap_filters import usable
 from .common import cut, table, whole_runs
 
-PROJECTIONS, COLLISIONS, WIDEN, START, VERIFY, LEAST, BLOCK, SEED = 192, 0.8, 1.1, 0.12, 0.04, 80, 4096, 5
+PROJECTIONS, COLLISIONS, WIDEN, START, VERIFY, LEAST, BLOCK, BUCKETS, SEED = 192, 0.8, 1.15, 0.12, 0.04, 80, 4096, 128, 5
 
 
 @lru_cache(maxsize=8)
@@ -52,37 +52,53 @@ class Block:
         self.x, self.longest = x, longest
         self.turn = directions(x.shape[1] + 1)
         more = np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(axis=1)))
-        places = np.column_stack([x, more]) @ self.turn
-        self.order = np.argsort(places, axis=0, kind="stable").T.astype("i4").copy()
-        self.sorted = np.take_along_axis(places.T, self.order, axis=1)
+        places = (np.column_stack([x, more]) @ self.turn).T
+        order = np.argsort(places, axis=1, kind="stable")
+        # each sorted array is cut into ``BUCKETS`` buckets: where they begin (the arrays far apart, so that one search serves all), and
+        # for each beginning the vectors before it as bits
+        n, m = len(x), len(places)
+        step = max(1, n // BUCKETS)
+        begin = np.arange(0, n, step)
+        self.apart = 8 * longest * np.arange(m)
+        self.edges = (np.take_along_axis(places, order[:, begin], axis=1) + self.apart[:, None]).ravel()
+        self.first = (len(begin) + 1) * np.arange(m)
+        rank = np.empty(n, "i4")
+        self.before = np.empty((m, len(begin) + 1, -(-n // 8)), "u1")
+        for j in range(m):
+            rank[order[j]] = np.arange(n)
+            self.before[j] = np.packbits(rank < np.append(begin, n)[:, None], axis=1)
+        self.before = self.before.reshape(m * (len(begin) + 1), -1)
+
+    def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
+        """The number of windows, one around the centre in each sorted array and up to the ends of its buckets, that each vector lies in."""
+        reach, m = 3 * self.longest, len(centre)
+        ends = np.searchsorted(self.edges, np.concatenate([np.maximum(centre - half, -reach) + self.apart, np.minimum(centre + half, reach) + self.apart]), "right")
+        low, high = ends.reshape(2, -1) + np.arange(m)  # of the bits: one beginning more than edges in each array
+        inside = self.before[np.maximum(low - 1, self.first)] ^ self.before[high]
+        return np.add.reduce(np.unpackbits(inside, axis=1, count=len(self.x)), axis=0, dtype="u1")
 
     def candidates(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
         """For each query, the vectors with the most collisions among those in enough of its windows, without those of its own id."""
-        n, m = len(self.x), self.order.shape[0]
-        enough, budget = int(np.ceil(COLLISIONS * m)), max(k, int(np.ceil(VERIFY * n)) + LEAST)
+        enough, budget = int(np.ceil(COLLISIONS * len(self.first))), max(k, int(np.ceil(VERIFY * len(self.x))) + LEAST)
         scale = self.longest / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
         centres = np.column_stack([queries * scale, np.zeros(len(queries))]) @ self.turn
-        at = np.stack([np.searchsorted(self.sorted[j], centres[:, j]) for j in range(m)], axis=1)
-        # window ends of all queries at each level of rehashing
-        half, ends = START * self.longest, []
-        flat = [self.order[j] for j in range(m)]
+        level = 0
         for q in range(len(queries)):
             other = ids != own[q]
             wanted = min(int(other.sum()), budget)
-            counts, low, high, level = np.zeros(n, "i8"), at[q], at[q], 0
-            while True:
-                if level == len(ends):
-                    ends.append((np.stack([np.searchsorted(self.sorted[j], centres[:, j] - half, "left") for j in range(m)], axis=1), np.stack([np.searchsorted(self.sorted[j], centres[:, j] + half, "right") for j in range(m)], axis=1)))
-                    half *= WIDEN
-                low_, high_ = ends[level][0][q], ends[level][1][q]
-                added = [flat[j][a:b] for j, (a, b) in enumerate(zip(low_.tolist(), low.tolist())) if a < b]
-                added += [flat[j][a:b] for j, (a, b) in enumerate(zip(high.tolist(), high_.tolist())) if a < b]
-                if added:
-                    counts += np.bincount(np.concatenate(added), minlength=n)
-                low, high, level = low_, high_, level + 1
-                hit = np.flatnonzero((counts >= enough) & other)
-                if len(hit) >= wanted:
-                    break
+
+            def hits(level: int) -> tuple[np.ndarray, np.ndarray]:
+                counts = self.collisions(centres[q], START * self.longest * WIDEN**level)
+                return np.flatnonzero((counts >= enough) & other), counts
+
+            # the first level of rehashing with candidates enough, looked for from the last query's on
+            hit, counts = hits(level)
+            if len(hit) >= wanted:
+                while level > 0 and len((less := hits(level - 1))[0]) >= wanted:
+                    (hit, counts), level = less, level - 1
+            while len(hit) < wanted:
+                level += 1
+                hit, counts = hits(level)
             if len(hit) > wanted > 0:
                 hit = hit[counts[hit] >= np.partition(counts[hit], len(hit) - wanted)[len(hit) - wanted]]
             yield hit

@@ -47,7 +47,9 @@ WIDTH, GRAM = 50, 20
 BUCKET, FLUSH, SHARD, END = 4 << 20, 32 << 20, 1 << 20, 0xFF
 #: One document in so many tells frequent minimizers: those that ``HOT`` of these have, the ``MOST_HOT`` most frequent ones (8 bytes each in a broadcast).
 #: They only decide how runs are dealt.
-SAMPLE, HOT, MOST_HOT = 64, 64, 1_000_000
+SAMPLE, HOT, MOST_HOT = 64, 512, 1_000_000
+#: Most minimizers that a row names, so that rows are of one size whatever the number of tasks.
+PER_ROW = 4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -197,28 +199,41 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, data): the minimizers of each document that another document has too, from one bucket. data: pairs of bucket and rest."""
 
-    def out(doc, pairs):
-        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
+    def out(docs, held):
+        doc, pairs = np.concatenate(docs), np.concatenate(held)
+        order = np.argsort(doc, kind="stable")
+        doc, pairs = doc[order], pairs[order]
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        place = np.arange(len(doc)) - np.repeat(new, np.diff(np.r_[new, len(doc)]))
+        edges = np.r_[np.flatnonzero(place % PER_ROW == 0), len(doc)]
         for at in range(0, len(edges) - 1, 5000):
             own = edges[at : at + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([pairs[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], ["doc_id", "data"])
 
+    docs, held, total = [], [], 0  # of all buckets of the task, so that a document gets few rows
     for bucket, rows in _bucket_rows(batches):
         if bucket < 0:
             for row in rows:
                 doc, of, rest = _unpacked(row, "i8", "u4", "u4")
-                yield from out(doc, np.stack([of, rest], axis=1))
-            continue
-        parts = [_unpacked(r, "u4", "i8", "u1") for r in rows]
-        h, doc, known = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((doc, h))
-        h, doc, known = h[order], doc[order], known[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        last = np.r_[first[1:], len(h)] - 1
-        many = np.repeat((doc[first] != doc[last]) | (np.maximum.reduceat(known, first) > 0), last - first + 1) & (known == 0)
-        h, doc = h[many], doc[many]
-        order = np.argsort(doc, kind="stable")
-        yield from out(doc[order], np.stack([np.full(len(order), bucket, "u4"), h[order]], axis=1))
+                docs.append(doc)
+                held.append(np.stack([of, rest], axis=1))
+                total += len(doc)
+        else:
+            parts = [_unpacked(r, "u4", "i8", "u1") for r in rows]
+            h, doc, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((doc, h))
+            h, doc, known = h[order], doc[order], known[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            last = np.r_[first[1:], len(h)] - 1
+            many = np.repeat((doc[first] != doc[last]) | (np.maximum.reduceat(known, first) > 0), last - first + 1) & (known == 0)
+            docs.append(doc[many])
+            held.append(np.stack([np.full(int(many.sum()), bucket, "u4"), h[many]], axis=1))
+            total += len(held[-1])
+        if total * 16 > FLUSH // 2:
+            yield from out(docs, held)
+            docs, held, total = [], [], 0
+    if total:
+        yield from out(docs, held)
 
 
 def _runs(width: int, buckets: int, frequent):
@@ -400,17 +415,22 @@ def _judged(width: int):
                 lowest = np.minimum.reduceat(least[at], start)
                 least[at] = np.repeat(lowest, np.diff(np.r_[start, len(block)]))
             del shards, number_of, offset_of
-            for a in range(0, len(own), 100_000):
-                t = own[a : a + 100_000]
+            low, high = np.minimum.reduceat(least, base), np.maximum.reduceat(least, base)
+            whole = doc > high[own]
+            if whole.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[whole]), pa.array(copy[whole]), pa.array(first[whole], pa.int32()), pa.array(first[whole] + windows[own[whole]] - 1, pa.int32())], ["doc_id", "copy", "first", "last"])
+            some = np.flatnonzero((doc > low[own]) & ~whole)
+            for a in range(0, len(some), 20_000):
+                part = some[a : a + 20_000]
+                t = own[part]
                 n = windows[t]
                 row = np.repeat(np.arange(len(t)), n)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                hit = np.flatnonzero(doc[a : a + 100_000][row] > least[base[t][row] + place])
-                if len(hit):
-                    new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
-                    lo, hi = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
-                    r = row[lo] + a
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(copy[r]), pa.array(first[r] + place[lo], pa.int32()), pa.array(first[r] + place[hi], pa.int32())], ["doc_id", "copy", "first", "last"])
+                hit = np.flatnonzero(doc[part][row] > least[base[t][row] + place])
+                new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
+                lo, hi = hit[new], hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
+                r = part[row[lo]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(copy[r]), pa.array(first[r] + place[lo], pa.int32()), pa.array(first[r] + place[hi], pa.int32())], ["doc_id", "copy", "first", "last"])
 
     return run
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph, hybrid, memory, metrics, vectors
 from graphloom.sources import store
 from graphloom.sources.config import Config
-from graphloom.sources.lineage import cut
-from graphloom.sources.schema import EDGE_KINDS, ENTRY_TYPES, LOG
+from graphloom.sources.lineage import cut, numbered
+from graphloom.sources.schema import EDGE_KINDS, ENTRY_TYPES, LOG, MEMORY_RELATIONS, SESSIONS
 
 
 class Engine:
@@ -18,6 +18,7 @@ class Engine:
     def __init__(self, spark: SparkSession, base: str, config: Config | None = None):
         self.spark, self.base, self.config = spark, base.rstrip("/"), config or Config()
         self.log_path, self.snapshots = f"{self.base}/log", f"{self.base}/snapshots"
+        store.mend(spark, self.log_path)
         if not self._has_log():
             spark.createDataFrame([], LOG).write.mode("append").parquet(self.log_path)
 
@@ -31,12 +32,11 @@ class Engine:
         """A batch of nodes, edges, vectors or memory contents, in their columns; deleted writes tombstones."""
         field = "memory" if kind == "memory_content" else kind
         names = [f.name for f in LOG[field].dataType.fields]
-        last = self.last_seq()
-        rows = cut(rows.select(F.struct(*(F.col(n).cast(LOG[field].dataType[n].dataType).alias(n) for n in names)).alias(field), F.monotonically_increasing_id().alias("n")))
-        # numbers are spread by partition: they ascend and are unique, as the log asks, without one task that counts all
-        full = {"seq": F.col("n") + last + 1, "ts": F.current_timestamp(), "entry_type": F.lit(ENTRY_TYPES[kind]), field: F.col(field), "deleted": F.lit(deleted)}
+        rows = numbered(rows.select(F.struct(*(F.col(n).cast(LOG[field].dataType[n].dataType).alias(n) for n in names)).alias(field)), "seq", self.last_seq() + 1)
+        full = {"seq": F.col("seq"), "ts": F.current_timestamp(), "entry_type": F.lit(ENTRY_TYPES[kind]), field: F.col(field), "deleted": F.lit(deleted)}
         store.append(rows.select(*(full.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG.fields)), self.log_path)
-        if self.config.snapshot_auto_interval and self.log().count() - self._covered() >= self.config.snapshot_auto_interval:
+        every = self.config.snapshot_auto_interval
+        if every and self.last_seq() - self._covered() >= every:  # numbers are dense
             self.snapshot()
 
     def insert_nodes(self, rows: DataFrame) -> None:
@@ -62,17 +62,62 @@ class Engine:
     def remove_vector(self, vector_id: int) -> None:
         self.insert("vector", self.state().vectors.where(F.col("id") == vector_id), deleted=True)
 
+    def remove_edge(self, src: int, dst: int) -> None:
+        """One edge between the two, of the smallest kind; others of that kind between them go with it, as the log's tombstones have no count."""
+        own = self.state().edges.where((F.col("src") == src) & (F.col("dst") == dst))
+        self.insert("edge", own.groupBy("src", "dst").agg(F.min("kind").alias("kind")), deleted=True)
+
+    def clear_vectors(self) -> None:
+        self.insert("vector", self.state().vectors, deleted=True)
+
+    def compact(self) -> int:
+        """A snapshot, then the log without the entries that it covers, but for the configured number of last ones; the number of entries left."""
+        return store.truncate(self.spark, self.log_path, self.snapshot()["max_seq"], self.config.log_compaction_keep_recent)
+
+    # ---- relations and sessions: tables of their own beside the log ----
+
+    def _table(self, name: str, schema) -> DataFrame:
+        fs, path = store._fs(self.spark, f"{self.base}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}") if fs.exists(path) else self.spark.createDataFrame([], schema)
+
+    def _append(self, name: str, rows: DataFrame, schema) -> None:
+        have = set(rows.columns)
+        cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        rows.select(*cols).write.mode("append").parquet(f"{self.base}/{name}")
+
+    def relate(self, rows: DataFrame) -> None:
+        """rows(src, dst, relation, strength, ...): relations between memories."""
+        self._append("relations", rows.withColumn("created_at", F.current_timestamp()), MEMORY_RELATIONS)
+
+    def relations(self) -> DataFrame:
+        """As last set for each pair and relation."""
+        rest = [c for c in MEMORY_RELATIONS.names if c not in ("src", "dst", "relation")]
+        own = self._table("relations", MEMORY_RELATIONS).groupBy("src", "dst", "relation").agg(F.max_by(F.struct(*rest), "created_at").alias("v"))
+        return own.select("src", "dst", "relation", *(F.col(f"v.{c}").alias(c) for c in rest))
+
+    def set_session(self, rows: DataFrame) -> None:
+        """rows(id, user_id, title, context, ...): creates sessions, or their next state, with one interaction more."""
+        now = F.current_timestamp()
+        self._append("sessions", rows.withColumns({"started_at": now, "last_active": now, "interaction_count": F.lit(1), "is_active": F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in rows.columns else F.lit(True)}), SESSIONS)
+
+    def sessions(self) -> DataFrame:
+        return memory.latest_sessions(self._table("sessions", SESSIONS))
+
+    def session(self, session_id: int) -> DataFrame:
+        return self.sessions().where(F.col("id") == session_id)
+
     # ---- state ----
 
     def log(self) -> DataFrame:
         return store.read_log(self.spark, self.log_path)
 
     def last_seq(self) -> int:
-        return self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        """The largest sequence number; a truncated log goes on from its snapshot's."""
+        return max(self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0], self._covered())
 
     def _covered(self) -> int:
         known = store.manifests(self.spark, self.snapshots)
-        return self.log().where(F.col("seq") <= known[-1]["max_seq"]).count() if known else 0
+        return known[-1]["max_seq"] if known else 0
 
     def state(self) -> store.State:
         return store.recover(self.spark, self.snapshots, self.log())
@@ -102,20 +147,30 @@ class Engine:
     def node(self, node_id: int) -> DataFrame:
         return graph.get_node(self.state().nodes, node_id)
 
-    def related(self, start: int, depth: int = 2) -> DataFrame:
+    def related(self, start: int, depth: int | None = 2) -> DataFrame:
+        """Nodes within ``depth`` hops; None: as many as the configuration says."""
         s = self.state()
-        return graph.k_hop(s.nodes, s.edges, start, min(depth, self.config.graph_max_traversal_depth), self.config.graph_max_neighbors_per_node or None).select("id", "depth")
+        return graph.k_hop(s.nodes, s.edges, start, self.config.graph_max_traversal_depth if depth is None else depth, self.config.graph_max_neighbors_per_node or None).select("id", "depth")
+
+    def by_kind(self, node_id: int, kind: str, direction: str = "outgoing") -> DataFrame:
+        s = self.state()
+        return graph.by_edge_kind(s.nodes, s.edges, node_id, edge_kind(kind), direction)
 
     def explore(self, start: int, depth: int = 2) -> DataFrame:
         s = self.state()
         return graph.explore(s.nodes, s.edges, start, depth)
 
     def shortest_path(self, a: int, b: int) -> DataFrame:
-        return graph.shortest_path(self.state().edges, a, b, self.config.graph_max_traversal_depth)
+        return graph.shortest_path(self.state().edges, a, b)
 
     def similar(self, vector_id: int, k: int = 10) -> DataFrame:
         return vectors.top_k(self.state().vectors, vector_id, k)
 
+    def similar_batch(self, ids: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, id, similarity): the k nearest of every vector in ids(id)."""
+        own = self.state().vectors
+        return vectors.search(own, own.join(ids.select("id").distinct(), "id", "left_semi"), k=k)
+
     def similar_threshold(self, vector_id: int, least: float | None = None) -> DataFrame:
         return vectors.threshold(self.state().vectors, vector_id, self.config.vector_similarity_threshold if least is None else least)
 
@@ -136,6 +191,11 @@ class Engine:
         self.insert("node", own.select("id", F.col("content").alias("label")).unionByName(concepts))
         self.insert("edge", edges)
 
+    def update_memory(self, memory_id: int, content: str) -> None:
+        """The memory's new content, vector and label; its old concepts go as in ``forget``, its new ones come as in ``store_memories``."""
+        self.forget(memory_id)
+        self.store_memories(self.spark.createDataFrame([(memory_id, content)], "id long, content string"))
+
     def _contents(self) -> DataFrame:
         return self.state().memory_contents.select(F.col("memory_id").alias("id"), "content")
 

@@ -116,3 +116,22 @@ def register(spark) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cosine_sim(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN aggregate(a, 0D, (s, x) -> s + x * x) = 0 OR aggregate(b, 0D, (s, x) -> s + x * x) = 0 THEN 0D ELSE aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x)) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION concepts(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(filter(transform(split(t, ' '), w -> lower(regexp_replace(w, '[^A-Za-z]', ''))), w -> length(w) >= 3 AND NOT array_contains(array('the', 'and', 'with', 'for', 'are', 'was', 'this', 'that'), w)))")
+
+
+def label_text(label) -> Column:
+    """A fixed-width label up to its first NUL."""
+    return F.substring_index(_col(label), "\0", 1)
+
+
+def checksum(content) -> Column:
+    """CRC32 of the bytes."""
+    return F.crc32(_col(content).cast("binary"))
+
+
+def runs(text) -> Column:
+    """Run-length coding: array<struct<n, c>> of a text's runs of equal characters."""
+    return F.transform(F.regexp_extract_all(_col(text), F.lit(r"(?s)((.)\2*)"), F.lit(1)), lambda r: F.struct(F.length(r).alias("n"), F.substring(r, 1, 1).alias("c")))
+
+
+def from_runs(coded) -> Column:
+    return F.array_join(F.transform(_col(coded), lambda r: F.repeat(r["c"], r["n"])), "")

@@ -14,6 +14,10 @@ def get_node(nodes: DataFrame, node_id: int) -> DataFrame:
     return nodes.where(F.col("id") == node_id)
 
 
+def exists(nodes: DataFrame, node_id: int) -> bool:
+    return not get_node(nodes, node_id).isEmpty()
+
+
 def outgoing(edges: DataFrame, node_id: int) -> DataFrame:
     return edges.where(F.col("src") == node_id)
 
@@ -42,12 +46,12 @@ def neighbors(edges: DataFrame, node_id: int) -> DataFrame:
 
 
 def k_hop(nodes: DataFrame, edges: DataFrame, start, depth: int | None = None, neighbor_cap: int | None = None) -> DataFrame:
-    """(source, id, depth): nodes within ``depth`` hops, each at its least depth, the start at 0; ids without a node are passed through but not returned.
+    """(source, id, depth): nodes within ``depth`` hops (None: MAX_DEPTH), each at its least depth, the start at 0; ids without a node are passed through but not returned.
 
     ``start`` is an id, or a DataFrame (source) of ids, which are all followed at once: a semi-naive loop joins the last level
     with the edges, so its work follows the levels' size, and each level is cut by a checkpoint.
     """
-    depth = MAX_DEPTH if depth is None else min(depth, MAX_DEPTH)
+    depth = MAX_DEPTH if depth is None else depth
     spark = edges.sparkSession
     first = spark.createDataFrame([(start,)], "source long") if isinstance(start, int) else start.select(F.col("source").cast("long").alias("source")).distinct()
     seen = first.select("source", F.col("source").alias("id"), F.lit(0).alias("depth"))
@@ -63,8 +67,8 @@ def k_hop(nodes: DataFrame, edges: DataFrame, start, depth: int | None = None, n
     return seen.join(nodes.select("id").distinct(), "id", "left_semi").select("source", "id", "depth")
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(position, id) of a shortest undirected path, by the smallest parents; empty if there is none within max_depth."""
+def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int | None = None) -> DataFrame:
+    """(position, id) of a shortest undirected path, by the smallest parents; empty if there is none, or none within max_depth."""
     spark = edges.sparkSession
     out = "position int, id long"
     if start == end:
@@ -72,7 +76,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int = MAX_D
     adjacent = both_ways(edges)
     levels = [spark.createDataFrame([(start, None)], "id long, parent long")]
     seen, reached = levels[0].select("id"), False
-    for _ in range(max_depth):
+    while max_depth is None or len(levels) <= max_depth:
         found = levels[-1].join(adjacent, "id").groupBy(F.col("other").alias("id")).agg(F.min("id").alias("parent"))
         level = cut(found.join(seen, "id", "left_anti"))
         if level.isEmpty():
@@ -105,7 +109,7 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def explore(nodes: DataFrame, edges: DataFrame, start: int, depth: int = 2) -> DataFrame:
     """k-hop nodes with label, their sorted outgoing and incoming ends; raises if the start is no node."""
-    if get_node(nodes, start).isEmpty():
+    if not exists(nodes, start):
         raise KeyError(f"no node {start}")
     near = k_hop(nodes, edges, start, depth).select("id", "depth")
     # the lists are of edges that touch the found nodes only

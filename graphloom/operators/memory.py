@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.exprs import concept_id, concepts, hash_embed
+from graphloom.sources.lineage import numbered
 from graphloom.sources.schema import EDGE_KINDS
 
 from . import graph, vectors
@@ -151,10 +152,22 @@ def session_summary(turns: DataFrame) -> DataFrame:
 
 def store(memories: DataFrame, new: DataFrame) -> DataFrame:
     """New rows (without id) appended with ids after the largest; ids follow (created_at, content)."""
-    last = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    # the order is of one batch of new rows
-    numbered = new.drop("id").withColumn("n", F.row_number().over(Window.orderBy("created_at", "content"))).join(last).withColumn("id", F.col("last") + F.col("n")).drop("n", "last")
-    return memories.unionByName(numbered, allowMissingColumns=True)
+    last = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first().last
+    return memories.unionByName(numbered(new.drop("id").orderBy("created_at", "content"), "id", last + 1), allowMissingColumns=True)
+
+
+def relate(relations: DataFrame, new: DataFrame) -> DataFrame:
+    """relations with new(src, dst, relation, strength) added: of one pair and relation the new strength, at most 1 and at least 0, counts."""
+    own = new.withColumn("strength", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("strength"))).cast("float"))
+    keys = ["src", "dst", "relation"]
+    return relations.join(own.select(*keys), keys, "left_anti").select(*relations.columns).unionByName(own, allowMissingColumns=True)
+
+
+def latest_sessions(log: DataFrame) -> DataFrame:
+    """Sessions as last written: of each id the row of the largest ``last_active``, with the first ``started_at`` and all its interactions."""
+    rest = [c for c in log.columns if c not in ("id", "started_at", "interaction_count")]
+    own = log.groupBy("id").agg(F.max_by(F.struct(*rest), "last_active").alias("v"), F.min("started_at").alias("started_at"), F.sum("interaction_count").alias("interaction_count"))
+    return own.select(*(F.col(c) if c in ("id", "started_at", "interaction_count") else F.col(f"v.{c}").alias(c) for c in log.columns))
 
 
 def update(memories: DataFrame, changes: DataFrame) -> DataFrame:

@@ -75,3 +75,13 @@ def unexpired(accesses: DataFrame, key: str, as_of, ttl_seconds: int) -> DataFra
     """Keys whose last access is at most the TTL before ``as_of``."""
     last = accesses.groupBy(key).agg(F.max("ts").alias("last_access"))
     return last.where(F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("last_access").cast("timestamp")) <= ttl_seconds * 1_000_000)
+
+
+def gauges(samples: DataFrame) -> DataFrame:
+    """(name, value) as last set, of samples(name, ts, value)."""
+    return samples.groupBy("name").agg(F.max_by("value", "ts").alias("value"))
+
+
+def json_export(values: DataFrame) -> DataFrame:
+    """A JSON line for each row."""
+    return values.select(F.to_json(F.struct(*values.columns)).alias("line"))

@@ -140,3 +140,25 @@ def resolved_manual(versions: DataFrame) -> DataFrame:
 
 def ranked(versions: DataFrame) -> DataFrame:
     return versions.withColumn("rank", F.row_number().over(Window.partitionBy("data_key").orderBy(F.desc("ts"), F.desc("node_id"))))
+
+
+def partition_statistics(placed: DataFrame) -> DataFrame:
+    """(nodes, items, mean, least, most) over the primaries of placed keys."""
+    return load(placed).agg(F.count("*").alias("nodes"), F.sum("items").alias("items"), F.avg("items").alias("mean"), F.min("items").alias("least"), F.max("items").alias("most"))
+
+
+def recovery_mode(gap: str = "gap", has_snapshot: str = "has_snapshot", most: int = 1000) -> Column:
+    """fast (from a snapshot) if a member lags by over ``most`` entries and there is a snapshot; else it replays the log."""
+    return F.when((F.col(gap) > most) & F.col(has_snapshot), "fast").otherwise("replay")
+
+
+def grants_vote(term: str, own_term: str, voted_for: str, candidate: str, last: tuple[str, str], own_last: tuple[str, str]) -> Column:
+    """Whether a member votes for a candidate: its term is not older, no other has the vote in this term, and its log (last term, last index) is up to date."""
+    free = (F.col(term) > F.col(own_term)) | F.col(voted_for).isNull() | (F.col(voted_for) == F.col(candidate))
+    fresh = (F.col(last[0]) > F.col(own_last[0])) | ((F.col(last[0]) == F.col(own_last[0])) & (F.col(last[1]) >= F.col(own_last[1])))
+    return (F.col(term) >= F.col(own_term)) & free & fresh
+
+
+def accepts_entries(term: str, own_term: str, prev_index: str, prev_term: str, own_prev_term: str) -> Column:
+    """Whether a member takes a leader's entries: the term is not older and the entry before them is the same in both logs (index 0: there is none)."""
+    return (F.col(term) >= F.col(own_term)) & ((F.col(prev_index) == 0) | F.coalesce(F.col(prev_term) == F.col(own_prev_term), F.lit(False)))

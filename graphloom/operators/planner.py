@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCAN, EDGE, VECTOR, LOOKUP, HIT, MISS, SELECTIVITY = 100.0, 150.0, 500.0, 50.0, 10.0, 1000.0, 0.1  # nanoseconds; a share
@@ -59,3 +59,18 @@ def recommendations(queries: DataFrame, slow_us: float = 1000.0, miss_ratio: flo
     """(query_hash, slow, uncached, parallel) of queries(query_hash, duration_us, is_hit)."""
     g = queries.groupBy("query_hash").agg(F.count("*").alias("runs"), F.avg("duration_us").alias("mean_us"), F.avg((~F.col("is_hit")).cast("double")).alias("misses"))
     return g.select("query_hash", (F.col("mean_us") > slow_us).alias("slow"), (F.col("misses") > miss_ratio).alias("uncached"), (F.col("runs") > many).alias("parallel"))
+
+
+def statistics(queries: DataFrame) -> DataFrame:
+    """(queries, patterns, hit_ratio, mean_us) of queries(query_hash, duration_us, is_hit)."""
+    return queries.agg(F.count("*").alias("queries"), F.countDistinct("query_hash").alias("patterns"), F.coalesce(F.avg(F.col("is_hit").cast("double")), F.lit(0.0)).alias("hit_ratio"), F.avg("duration_us").alias("mean_us"))
+
+
+def adapted(queries: DataFrame, initial: float, alpha: float = 0.1) -> DataFrame:
+    """(kind, cost): each kind's cost after its queries(kind, seq, duration_us), in order, moved it by ``alpha`` towards themselves.
+
+    The ordered fold is a weighted sum: a query with n later ones weighs alpha (1 - alpha)^n, the initial cost what is left.
+    """
+    later = F.count("*").over(Window.partitionBy("kind").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
+    weighed = queries.select("kind", "duration_us", F.pow(F.lit(1 - alpha), later).alias("w"))
+    return weighed.groupBy("kind").agg((F.sum(F.col("duration_us") * F.col("w")) * alpha + F.lit(initial) * F.pow(F.lit(1 - alpha), F.count("*"))).alias("cost"))

@@ -438,7 +438,7 @@ def log_compact(spark, sf):
 
 @query("SELECT event_id, event_type FROM events WHERE event_id = 17")
 def log_entry(spark, sf):
-    return d.table(spark, sf, "events").where("event_id = 17").select("event_id", "event_type")
+    return store.entry(d.table(spark, sf, "events").withColumnRenamed("event_id", "seq"), 17).select(F.col("seq").alias("event_id"), "event_type")
 
 
 @query("SELECT user_id AS id, arg_max(event_type, event_id) AS label FROM events WHERE user_id <> 0 GROUP BY user_id")
@@ -658,3 +658,77 @@ def member_table(spark, sf):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark, sf):
     return streams.windowed(d.table(spark, sf, "events"), "1 hour").select("window_start", "event_type", "events", F.round("total", 3).alias("total"))
+
+
+# ---- loading, relations, sessions, members ----
+
+
+@query("SELECT doc_id AS id, min(part) AS source FROM (SELECT doc_id, 1 AS part FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 3 FROM documents) GROUP BY doc_id")
+def reload_by_priority(spark, sf):
+    """Three overlapping sources of memories; a key comes from the first source that has it."""
+    ids = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id")).distinct()
+    parts = [ids.where(c).withColumn("source", F.lit(k)) for k, c in ((1, "id % 3 = 0"), (2, "id % 2 = 0"), (3, "true"))]
+    return store.reload(parts, "id")
+
+
+@query(f"SELECT src, dst, 7 AS relation, round(CASE WHEN src % 2 = 0 THEN least(1.0, src % 10 / 5.0) ELSE src % 10 / 10.0 END, 6) AS strength FROM (SELECT o_custkey + {4 * S} AS src, o_orderkey + {6 * S} AS dst FROM orders)")
+def relate_memories(spark, sf):
+    """Relations with strengths, of which those of even sources are set again, twice as strong, at most 1."""
+    e = d.edges(spark, sf).where("kind = 0").select("src", "dst", F.lit(7).alias("relation"), (F.pmod("src", F.lit(10)) / 10).cast("float").alias("strength"))
+    again = e.where("src % 2 = 0").withColumn("strength", (F.pmod("src", F.lit(10)) / 5).cast("float"))
+    return memory.relate(e, again).select("src", "dst", "relation", r6(F.col("strength").cast("double")).alias("strength"))
+
+
+@query("SELECT user_id AS id, arg_max(event_type, event_id) AS title, min(event_id) AS started_at, max(event_id) AS last_active, count(*) AS interaction_count FROM events GROUP BY user_id")
+def sessions_latest(spark, sf):
+    e = d.table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("title"), F.col("event_id").alias("started_at"), F.col("event_id").alias("last_active"), F.lit(1).cast("long").alias("interaction_count"))
+    return memory.latest_sessions(e)
+
+
+@query(f"SELECT e.src, e.dst, e.kind FROM (SELECT l_orderkey + {6 * S} AS src, l_partkey + {5 * S} AS dst, 1 AS kind FROM lineitem) e WHERE e.src IN (SELECT o_orderkey + {6 * S} FROM orders WHERE o_orderstatus = 'F')")
+def edge_range_join(spark, sf):
+    """The edges of all finished orders."""
+    done = d.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(d.node_id("orders", "o_orderkey").alias("id"))
+    return store.range_join(d.edges(spark, sf).where("kind = 1"), done).select("src", "dst", F.col("kind").cast("int").alias("kind"))
+
+
+@query("SELECT event_type AS name, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY event_type")
+def metrics_gauges(spark, sf):
+    return metrics.gauges(d.table(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("ts"), "value")).select("name", r6("value").alias("value"))
+
+
+@query("SELECT count(*) AS queries, count(DISTINCT user_id) AS patterns, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS hit_ratio, round(avg(value), 6) AS mean_us FROM events")
+def planner_statistics(spark, sf):
+    q = d.table(spark, sf, "events").select(F.col("user_id").alias("query_hash"), F.col("value").alias("duration_us"), (F.col("event_type") != "error").alias("is_hit"))
+    return planner.statistics(q).select("queries", "patterns", r6("hit_ratio").alias("hit_ratio"), r6("mean_us").alias("mean_us"))
+
+
+@query("WITH e AS (SELECT event_type AS kind, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) - 1 AS later FROM events) SELECT kind, round(sum(value * 0.1 * pow(0.9, later)) + 5 * pow(0.9, count(*)), 6) AS cost FROM e GROUP BY kind")
+def planner_adapted(spark, sf):
+    q = d.table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.col("value").alias("duration_us"))
+    return planner.adapted(q, 5.0).select("kind", r6("cost").alias("cost"))
+
+
+@query("SELECT o_orderkey AS id, (o_orderkey % 5 >= o_custkey % 5) AND (o_orderkey % 5 > o_custkey % 5 OR o_custkey % 3 = 0 OR o_custkey % 3 = o_orderkey % 3) AND (o_orderkey % 4 > o_custkey % 4 OR (o_orderkey % 4 = o_custkey % 4 AND o_orderkey % 7 >= o_custkey % 7)) AS granted, (o_orderkey % 5 >= o_custkey % 5) AND (o_custkey % 2 = 0 OR o_orderkey % 4 = o_custkey % 4) AS accepted, CASE WHEN o_orderkey > 1000 AND o_custkey % 2 = 1 THEN 'fast' ELSE 'replay' END AS recovery FROM orders")
+def member_checks(spark, sf):
+    """Votes, appended entries and the way of recovery, with orders as messages."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    m = d.table(spark, sf, "orders").select(
+        k.alias("id"), (k % 5).alias("term"), (c % 5).alias("own_term"), F.nullif(c % 3, F.lit(0)).alias("voted"), (k % 3).alias("candidate"), (k % 4).alias("last_term"), (k % 7).alias("last_index"),
+        (c % 4).alias("own_last_term"), (c % 7).alias("own_last_index"), (c % 2).alias("prev"), k.alias("gap"), (c % 2 == 1).alias("has_snapshot"),
+    )
+    granted = placement.grants_vote("term", "own_term", "voted", "candidate", ("last_term", "last_index"), ("own_last_term", "own_last_index"))
+    return m.select("id", granted.alias("granted"), placement.accepts_entries("term", "own_term", "prev", "last_term", "own_last_term").alias("accepted"), placement.recovery_mode().alias("recovery"))
+
+
+@query("SELECT c_custkey AS id, split_part(c_name || chr(0) || 'rest', chr(0), 1) AS label FROM customer")
+def label_text(spark, sf):
+    return d.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), exprs.label_text(F.concat("c_name", F.lit("\0rest"))).alias("label"))
+
+
+@query("SELECT user_id AS memory_id, arg_min(event_type, event_id) AS content FROM events GROUP BY user_id")
+def first_contents(spark, sf):
+    """events as a log of contents; of each user the first."""
+    e = d.table(spark, sf, "events")
+    log = e.select(F.col("event_id").alias("seq"), F.lit(3).cast("short").alias("entry_type"), F.struct(F.col("user_id").alias("memory_id"), F.col("event_type").alias("content")).alias("memory"), F.lit(False).alias("deleted"))
+    return store.first_contents(log)

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import ENTRY_TYPES, LOG
+from .schema import EDGES, ENTRY_TYPES, LOG
 
 
 class State(NamedTuple):
@@ -37,7 +37,9 @@ def fold(log: DataFrame) -> State:
 
     def last(kind: str, field: str, key: str) -> DataFrame:
         own = log.where(F.col("entry_type") == ENTRY_TYPES[kind]).select("seq", "deleted", F.col(field).alias("v"))
-        return own.groupBy(F.col(f"v.{key}").alias("k")).agg(F.max_by(F.struct("v", "deleted"), "seq").alias("x")).where("NOT coalesce(x.deleted, false)").select("x.v.*")
+        kept = own.groupBy(F.col(f"v.{key}").alias(key)).agg(F.max_by(F.struct("v", "deleted"), "seq").alias("x")).where("NOT coalesce(x.deleted, false)")
+        # the key is the grouping's, so that a filter on it reaches the scan of the log
+        return kept.select(*(F.col(key) if f.name == key else F.col(f"x.v.{f.name}").alias(f.name) for f in log.schema[field].dataType))
 
     edges = log.where(F.col("entry_type") == ENTRY_TYPES["edge"]).select("seq", F.coalesce("deleted", F.lit(False)).alias("deleted"), "edge.*")
     gone = edges.where("deleted").groupBy("src", "dst", "kind").agg(F.max("seq").alias("gone"))
@@ -52,9 +54,45 @@ def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def compact(log: DataFrame, keep_recent: int = 100_000, order: str = "seq") -> DataFrame:
-    """The last ``keep_recent`` entries by sequence number."""
-    top = log.agg(F.max(order).alias("top"))
-    return log.join(F.broadcast(top)).where(F.col(order) > F.col("top") - keep_recent).drop("top")  # one row
+    """The ``keep_recent`` entries of the largest sequence numbers, which need not be dense; entries of the last number all stay."""
+    least = log.select(order).orderBy(F.desc(order)).limit(keep_recent).agg(F.min(order).alias("least"))
+    return log.join(F.broadcast(least)).where(F.col(order) >= F.col("least")).drop("least")  # one row
+
+
+def truncate(spark: SparkSession, path: str, covered: int, keep_recent: int = 0) -> int:
+    """Rewrites the log without the entries up to sequence number ``covered``, but for the ``keep_recent`` last of these; returns the number of entries that are left.
+
+    The new log is complete before the old one goes; ``mend`` ends what was broken off in between.
+    """
+    log = read_log(spark, path)
+    old = compact(log.where(F.col("seq") <= covered), keep_recent) if keep_recent else log.limit(0)
+    old.select(*LOG.names).unionByName(log.where(F.col("seq") > covered).select(*LOG.names)).write.mode("overwrite").parquet(f"{path}-next")
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+    mend(spark, path)
+    return read_log(spark, path).count()
+
+
+def mend(spark: SparkSession, path: str) -> None:
+    """Puts the finished new log of a truncation in the place of the old one, if that is gone."""
+    fs, at = _fs(spark, path)
+    _, done = _fs(spark, f"{path}-next/_SUCCESS")
+    if not fs.exists(at) and fs.exists(done):
+        fs.rename(done.getParent(), at)
+
+
+def first_contents(log: DataFrame) -> DataFrame:
+    """(memory_id, content) as first logged; ``fold`` has the latest."""
+    own = log.where(F.col("entry_type") == ENTRY_TYPES["memory_content"]).where("NOT coalesce(deleted, false)")
+    return own.groupBy(F.col("memory.memory_id").alias("memory_id")).agg(F.min_by(F.col("memory.content"), "seq").alias("content"))
+
+
+def reload(sources: list[DataFrame], key: str) -> DataFrame:
+    """The rows of several sources in the order of their priority: a key comes from the first source that has it, the others' rows stay out."""
+    out = sources[0]
+    for more in sources[1:]:
+        out = out.unionByName(more.select(*out.columns).join(out.select(key).distinct(), key, "left_anti").select(*out.columns))
+    return out
 
 
 def snapshot(state: State, base: str, snapshot_id: int, max_seq: int, timestamp: str) -> dict:
@@ -166,3 +204,24 @@ def write_edges_sorted(edges: DataFrame, path: str, partitions: int | None = Non
     own = edges.distinct()
     own = own.repartitionByRange(partitions, "src") if partitions else own.repartitionByRange("src")
     own.sortWithinPartitions("src", "dst").write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def lookup_edges(spark: SparkSession, path: str, src: int, kind: int | None = None) -> DataFrame:
+    """A source's edges from the files of ``write_edges_sorted``: folders are pruned by kind, files and row groups by the range of src."""
+    found = spark.read.schema(EDGES).parquet(path).where(F.col("src") == src).select(*EDGES.names)
+    return found if kind is None else found.where(F.col("kind") == kind)
+
+
+def range_join(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges of all sources in ids(id)."""
+    return edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(*edges.columns)
+
+
+def write_vectors_sorted(vectors: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Vectors by id, so that a lookup reads one row group."""
+    own = vectors.repartitionByRange(partitions, "id") if partitions else vectors.repartitionByRange("id")
+    own.sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+
+
+def lookup_vector(spark: SparkSession, path: str, vector_id: int) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("id") == vector_id)

@@ -17,18 +17,19 @@ def log_stream(spark: SparkSession, path: str) -> DataFrame:
 def snapshot_every(log: DataFrame, log_path: str, base: str, checkpoint: str, every: int = 50_000, keep: int = 10):
     """A query that snapshots the log's state once ``every`` entries have come since the last snapshot, and keeps the newest ones.
 
-    The batch's number and the manifests alone decide, so a batch that is run again writes the same snapshot again.
+    Entries are counted, as their numbers may have gaps. The log and the manifests alone decide, and snapshots are numbered on from the
+    last one, whoever wrote it, so a batch that is run again finds its own snapshot and writes no other.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         known = store.manifests(spark, base)
-        since = known[-1]["max_seq"] if known else 0
+        since = known[-1]["max_seq"] if known else -1
         log_ = store.read_log(spark, log_path)
-        top = log_.agg(F.max("seq")).first()[0] or 0
-        if top - since >= every:
-            state = store.recover(spark, base, log_.where(F.col("seq") <= top))
-            store.snapshot(state, base, epoch + 1, top, f"seq {top}")
+        seen = log_.where(F.col("seq") > since).agg(F.count("*").alias("n"), F.max("seq").alias("top")).first()
+        if seen.n >= every:
+            state = store.recover(spark, base, log_.where(F.col("seq") <= seen.top))
+            store.snapshot(state, base, known[-1]["snapshot_id"] + 1 if known else 1, seen.top, f"seq {seen.top}")
             store.retain(spark, base, keep)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

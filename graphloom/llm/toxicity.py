@@ -5,7 +5,7 @@ earlier categories' probabilities (as log-odds). For training these come from ou
 sees probabilities of the same kind as at prediction time, where they come from models fitted to the whole sample.
 
 A feature is a whole word or the first 3 to 7 letters of words; its value in a document grows with its count and with its share of
-the words, up to 1. Training rows are a sample of the labelled documents, bounded by ``MOST_ROWS`` (the smallest hashes of doc_id);
+the words, up to 1. Training rows, pairs of a text and its labels, are a sample of the labelled documents, bounded by ``MOST_ROWS`` (the smallest hashes of doc_id);
 features are those whose presence goes with a category significantly (chi-square at least ``LEAST_CHI2`` and at least ``LEAST_DOCS``
 documents), at most ``MOST_FEATURES`` for each category. Feature statistics and features of the sample are made by the executors; the driver gets the
 chosen words and, for each sampled document, the numbers of its features. Every document is scored over its whole text.
@@ -144,8 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple] = CHAIN, mo
     names = [f"y{k}" for k in range(len(chain))]
     outcome = [(F.col(column) == value).cast("int").alias(n) for n, (_, column, value) in zip(names, chain, strict=True)]
     chosen = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *outcome).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(most_rows)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sample = cut(known.join(F.broadcast(cut(chosen)), "doc_id").select("doc_id", "text", F.array(*names).alias("y")))  # the sample's bound is the broadcast's
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # a doc_id may have many rows and labels: the bound is that of the rows that train, equal ones counted once
+    met = known.select("doc_id", "tie").join(F.broadcast(cut(chosen)), "doc_id").distinct()
+    rows = cut(met.orderBy(F.xxhash64("doc_id"), "doc_id", "tie", *names).limit(most_rows))
+    texts = known.join(F.broadcast(rows.select("doc_id", "tie").distinct()), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
+    sample = cut(texts.join(F.broadcast(rows), ["doc_id", "tie"]).select("doc_id", "text", F.array(*names).alias("y")))  # both broadcasts are bounded by most_rows
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.lineage import cut, shared_dir
+
 #: Words as the contracts define them: maximal runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hot join keys are dealt to this many salted parts.
@@ -21,27 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. One of our own only in a local session that has none."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with the lineage cut by a reliable checkpoint in the shared folder; Spark removes it once unused."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder, in this application's part of it."""
+    return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
+def sweep(spark: SparkSession) -> bool:
+    """Deletes all that this application has below ``scratch``: once results are written, or before it ends. Results not yet written need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

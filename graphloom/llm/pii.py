@@ -114,14 +114,15 @@ def _gazetteer(kind: str) -> str:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``base`` and ``more``: candidate spans with their votes."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    """(kept, own, base, more): a row's other columns as a struct with fields by place, its text, and candidate spans with their votes."""
+    kept = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text))
+    df = docs.select(kept.alias("kept"), F.col(f"`{text}`").alias("own")).withColumn("_t", F.coalesce(F.col("own").cast("string"), F.lit("")))
     for kind in KINDS:
         df = _spans(df, "_t", kind, BASE[kind], f"b_{kind}")
         df = df.withColumn(f"b_{kind}", F.expr(f"filter(b_{kind}, x -> {_check(kind)})"))
         df = _spans(df, "_t", kind, WIDER[kind], f"w_{kind}", ANCHOR[kind])
     df = df.withColumn("_b", F.concat(*(F.col(f"b_{k}") for k in KINDS)))
-    # of the wider candidates those that overlap no base span, nor an earlier wider one
+    # of the wider candidates those that overlap no base span
     wider = F.concat(*(F.col(f"w_{k}") for k in KINDS))
     df = df.withColumn("_w", wider).withColumn("_w", F.when(F.size("_w") > 0, F.expr("filter(_w, x -> NOT exists(_b, y -> x.s < y.e AND y.s < x.e))")).otherwise(F.col("_w")))
     by = lambda f: "CASE " + " ".join(f"WHEN x.kind = '{k}' THEN {f(k)}" for k in KINDS) + " END"
@@ -207,8 +208,8 @@ def _score(weights: dict[tuple, float]) -> str:
     return " + ".join(parts)
 
 
-def find(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """docs with ``base`` and ``spans``: arrays of (s, rank, e) with rank the place in KINDS, by start and then kind. Votes are trained on all rows."""
+def _found(docs: DataFrame, text: str, accept: float) -> tuple[DataFrame, dict[str, Column]]:
+    """(kept, own, base, spans) of every row, and where the columns of docs are in it."""
     voted = written(candidates(docs, text), "pii")
     shape = ("kind", "long", *LABELERS)
     seen = voted.select(F.explode(F.concat("base", "more")).alias("x")).groupBy(*(F.col(f"x.{c}").alias(c) for c in shape)).agg(F.count("*").alias("n"))
@@ -217,7 +218,14 @@ def find(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFra
     rank = "CAST(array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.kind) - 1 AS INT)"
     place = f"x -> named_struct('s', x.s, 'rank', {rank}, 'e', x.e)"
     added = f"filter(more, x -> {_score(weights)} >= {math.log(accept / (1 - accept))!r}D)"
-    return voted.withColumn("spans", F.expr(f"array_sort(transform(concat(base, {added}), {place}))")).withColumn("base", F.expr(f"array_sort(transform(base, {place}))")).drop("more")
+    out = voted.withColumn("spans", F.expr(f"array_sort(transform(concat(base, {added}), {place}))")).withColumn("base", F.expr(f"array_sort(transform(base, {place}))"))
+    return out.drop("more"), {c: F.col("own") if c == text else F.col(f"kept.c{k}") for k, c in enumerate(docs.columns)}
+
+
+def find(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """docs with ``base`` and ``spans``: arrays of (s, rank, e) with rank the place in KINDS, by start and then kind. Votes are trained on all rows."""
+    found, at = _found(docs, text, accept)
+    return found.select(*(c.alias(n) for n, c in at.items() if n not in ("base", "spans")), "base", "spans")
 
 
 def _joined(spans: str) -> Column:
@@ -226,17 +234,16 @@ def _joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataFrame:
     """docs, in their columns, with every span replaced by its kind in angle brackets (overlapping spans by the first's); n_chars, if there, counted again."""
-    found = find(docs, text, accept)
+    found, at = _found(docs, text, accept)
     label = "element_at(array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + "), x.rank + 1)"
     cut_ = (
         f"aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> CASE WHEN x.s >= a.at "
-        f"THEN named_struct('at', x.e, 'out', concat(a.out, array(substr(`{text}`, a.at + 1, x.s - a.at), {label}))) "
-        f"ELSE named_struct('at', greatest(a.at, x.e), 'out', a.out) END, a -> array_join(array_append(a.out, substr(`{text}`, a.at + 1)), ''))"
+        f"THEN named_struct('at', x.e, 'out', concat(a.out, array(substr(own, a.at + 1, x.s - a.at), {label}))) "
+        f"ELSE named_struct('at', greatest(a.at, x.e), 'out', a.out) END, a -> array_join(array_append(a.out, substr(own, a.at + 1)), ''))"
     )
-    new = F.when(F.size("spans") > 0, F.expr(cut_)).otherwise(F.col(text))
-    out = found.withColumn("_new", new).withColumn("_any", F.size("spans") > 0)
-    of = {text: F.col("_new")} | ({"n_chars": F.when(F.col("_any"), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*(of.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    out = found.withColumn("new", F.when(F.size("spans") > 0, F.expr(cut_)).otherwise(F.col("own")))
+    of = {text: F.col("new")} | ({"n_chars": F.when(F.size("spans") > 0, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(at["n_chars"])} if "n_chars" in docs.columns else {})
+    return out.select(*(of.get(n, c).alias(n) for n, c in at.items()))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

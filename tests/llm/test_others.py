@@ -306,3 +306,53 @@ def test_repeated_ids_leave_other_candidates(spark):
     assert len(got) == 20 and {r.query_id for r in got} == {1}
     got = collision_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=20).collect()
     assert len(got) == 24 * 6 and {r.vec_id for r in got} == set(range(1, 7))
+
+
+def test_clashing_columns_stay(spark, odd):
+    names = ["more", "_t", "_b", "_w", "b_email", "w_ip", "base", "spans", "kept", "own", "new", "c0", "_", "gone_id", "gone_0", "tie", "chunk", "start", "key", "size", "shard", "place"]
+    rows = [(i, t, "s") for i, t in [*odd, (50, "mail joe@site.org now " * 40)]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", "text", "source", F.length("text").cast("long").alias("n_chars"), *(F.lit(f"own {n}").alias(n) for n in names))
+    from graphloom.llm import bpe, simhash
+
+    for out in (pii.redact(d), simhash.keep_one(d), mixing.mixed_documents(d), pii.find(d).drop("base", "spans"), bpe.code(d, decoded="round").drop("ids", "round")):
+        kept = out.collect()
+        assert kept and all(r[n] == f"own {n}" for r in kept for n in names if n in out.columns)
+        assert [c for c in d.columns if c not in out.columns] in ([], ["base", "spans"])
+    assert "joe" not in " ".join(r.text or "" for r in pii.redact(d).collect())
+
+
+def test_training_rows_are_bounded(spark):
+    d = spark.range(3000).selectExpr("7 AS doc_id", "concat('word', id, ' vile'  ) AS text").unionByName(spark.range(100, 140).selectExpr("id AS doc_id", "'a good day' AS text"))
+    known = spark.createDataFrame([(7, 1, 1), *((i, 1, 0) for i in range(100, 140))], "doc_id long, quality int, toxic int")
+    seen, own = [], toxicity.fit_chain
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit_chain", lambda x, y, *a: seen.append(len(y)) or own(x, y, *a))
+        toxicity.train(d, known, most_rows=30)
+        toxicity.train(d, known, most_rows=5000)
+    assert seen == [30, 3040]
+
+
+def test_chain_is_trained_on_out_of_fold_probabilities(monkeypatch):
+    """With noise that a model can learn by heart, in-fold probabilities would look sure and out-of-fold ones don't."""
+    rng = np.random.default_rng(4)
+    n = 300
+    y0, x = rng.random(n) < 0.5, (np.arange(n), np.arange(n), np.ones(n))  # a feature of its own for each document
+    seen, own = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda x, n, size, before, y, **o: seen.append(before.copy()) or own(x, n, size, before, y, **o))
+    models = toxicity.fit_chain(x, np.column_stack([y0, y0]).astype("f8"), np.arange(n) % 3, n)
+    before = seen[-1][:, 0]
+    in_fold = toxicity.odds(models[0].predict(x, n, np.zeros((n, 0))))
+    assert ((in_fold > 0) == y0).mean() > 0.95 and abs(((before > np.median(before)) == y0).mean() - 0.5) < 0.2
+    # brute force: each document's probability comes from a model fitted without its fold
+    for k in range(3):
+        keep = np.arange(n) % 3 != k
+        m = own(toxicity.part(x, keep), int(keep.sum()), n, np.zeros((int(keep.sum()), 0)), y0[keep].astype("f8"))
+        want = toxicity.odds(m.predict(toxicity.part(x, ~keep), int((~keep).sum()), np.zeros((int((~keep).sum()), 0))))
+        assert np.allclose(before[~keep], want)
+
+
+def test_sweep(spark):
+    from graphloom.llm.common import sweep, written
+
+    t = written(spark.range(3).toDF("i"), "some")
+    assert t.count() == 3 and sweep(spark) and not sweep(spark)

@@ -42,7 +42,7 @@ _TURNS = np.arange(1, WIDE // 64 + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15
 #: The bits of each byte, each in a byte of its own.
 _LANES = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).view("u8").ravel()
 #: Texts that each is compared with in the first round; parts of a hot value in joins; one text in so many tells hot cells.
-FRONT, SPREAD, SAMPLE = 2, 16, 64
+FRONT, SPREAD, SAMPLE = 1, 16, 64
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -162,25 +162,32 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def ring(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, chain) of each fingerprint (rows) and start on its ring: the start with the first ``EQUAL`` segments, and the 64 bits from there on."""
+    """(cell, chain) of each fingerprint (rows) and start on its ring: the start with the ``EQUAL`` segments from there on, and the 64 bits that end with these."""
     chain = np.empty((len(prints), WIDE // SEGMENT), "u8")
     following = np.roll(prints, -1, axis=1)
     for turn in range(64 // SEGMENT):
         left = np.uint64(SEGMENT * turn)
         chain[:, turn :: 64 // SEGMENT] = (prints << left) | (following >> (np.uint64(64) - left)) if turn else prints
     width = np.uint64(EQUAL * SEGMENT)
-    return (chain >> (np.uint64(64) - width)) | (np.arange(WIDE // SEGMENT, dtype="u8") << width), chain
+    cell = (chain >> (np.uint64(64) - width)) | (np.arange(WIDE // SEGMENT, dtype="u8") << width)
+    return cell, np.roll(chain, 64 // SEGMENT - EQUAL, axis=1)
 
 
 def within(x: np.ndarray) -> np.ndarray:
-    """Whether the differing bits x of chains of 64 bits keep the budget of every run of leading segments."""
+    """Whether the differing bits x of chains of 64 bits keep the budget of every run of segments that ends the chain, read backwards from its equal ones."""
     ok = np.bitwise_count(x) <= 64 * MOST_BITS // WIDE
     for length in range(EQUAL + 1, 64 // SEGMENT):
         if SEGMENT * length * MOST_BITS // WIDE < SEGMENT * (length - EQUAL):
-            ok &= np.bitwise_count(x >> np.uint64(64 - SEGMENT * length)) <= SEGMENT * length * MOST_BITS // WIDE
+            ok &= np.bitwise_count(x & np.uint64((1 << SEGMENT * length) - 1)) <= SEGMENT * length * MOST_BITS // WIDE
     return ok
 
 
+def begins(x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether a run of equal segments begins with the cell's: else the pair has met in the cell of the start before. Long runs begin again every 16 starts."""
+    width = EQUAL * SEGMENT
+    return ((x >> np.uint64(width)) & np.uint64((1 << SEGMENT) - 1) != 0) | ((cell >> width) % (64 // SEGMENT) == 0)
+
+
 def digest(text: bytes) -> bytes:
     """One for all texts of the same words."""
     return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
@@ -208,27 +215,33 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return _bytes(docs).mapInArrow(run, "doc_id long, x binary, size long, fp array<long>")
 
 
-def _rings(texts: DataFrame) -> DataFrame:
-    """(cell, chain, t) of texts(t, fp): a row per start on the ring."""
+def _rings(texts: DataFrame, whole: bool = False) -> DataFrame:
+    """(cell, chain, t) of texts(t, fp): a row per start on the ring; whole: with the fingerprint in each, as bytes ``fp``."""
+    n = WIDE // SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                cell, chain = ring(part.column(1).flatten().to_numpy(zero_copy_only=False).view("u8").reshape(part.num_rows, -1))
-                t = np.repeat(part.column(0).to_numpy(), cell.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().view("i8")), pa.array(chain.ravel().view("i8")), pa.array(t)], ["cell", "chain", "t"])
+                prints = part.column(1).flatten().to_numpy(zero_copy_only=False).view("u8").reshape(part.num_rows, -1)
+                cell, chain = ring(prints)
+                arrays = [pa.array(cell.ravel().view("i8")), pa.array(chain.ravel().view("i8")), pa.array(np.repeat(part.column(0).to_numpy(), n))]
+                if whole:
+                    ends = np.arange(n * len(prints) + 1, dtype="i4") * (WIDE // 8)
+                    arrays.append(pa.Array.from_buffers(pa.binary(), n * len(prints), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.repeat(prints, n, axis=0).tobytes())]))
+                yield pa.RecordBatch.from_arrays(arrays, ["cell", "chain", "t", "fp"][: len(arrays)])
 
-    return texts.select("t", "fp").mapInArrow(run, "cell long, chain long, t long")
+    return texts.select("t", "fp").mapInArrow(run, "cell long, chain long, t long" + (", fp binary" if whole else ""))
 
 
-def _cells(texts: DataFrame, front: int) -> DataFrame:
-    """(cell, chain, t, leads) of texts(t, fp). A hot cell is dealt as many parts, each with the cell's first ``front`` texts, which lead it.
+def _cells(texts: DataFrame, front: int, whole: bool) -> DataFrame:
+    """(cell, chain, t, leads) and, if whole, the fingerprint, of texts(t, fp). A hot cell is dealt as many parts, each with the cell's first ``front`` texts, which lead it.
 
     Hot cells are told by a sample of the texts, which only decides how the work is dealt.
     """
-    rows = _rings(texts)
-    hot = cut(_rings(texts.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0)).groupBy("cell").count().where(F.col("count") * SAMPLE >= CELL).select("cell", F.ceil(F.col("count") * SAMPLE / CELL).cast("int").alias("parts")))
+    rows = _rings(texts, whole)
+    more = ["fp"] if whole else []
+    hot = _few(_rings(texts.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0)).groupBy("cell").count().where(F.col("count") * SAMPLE >= CELL).select("cell", F.ceil(F.col("count") * SAMPLE / CELL).cast("int").alias("parts")))
     if hot.isEmpty():
         return rows.withColumn("leads", F.lit(False))
     dealt = rows.join(hot, "cell", "left")
@@ -237,27 +250,30 @@ def _cells(texts: DataFrame, front: int) -> DataFrame:
     long_ = rows.join(hot, "cell").withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SPREAD)))
     for by in (["cell", "salt"], ["cell"]):
         long_ = long_.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("t"))).where(F.col("r") <= front)
-    first = cut(long_.select("cell", "chain", "t", "parts"))
-    leaders = first.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(part(F.col("p")).alias("cell"), "chain", "t", F.lit(True).alias("leads"))
+    first = cut(long_.select("cell", "chain", "t", "parts", *more))
+    leaders = first.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(part(F.col("p")).alias("cell"), "chain", "t", F.lit(True).alias("leads"), *more)
     least = first.groupBy("cell").agg(F.max("t").alias("upto"))  # what comes after the first is dealt
-    rest = dealt.join(least, "cell", "left").where("upto IS NULL OR t > upto").select(part(own).alias("cell"), "chain", "t", F.lit(False).alias("leads"))
+    rest = dealt.join(least, "cell", "left").where("upto IS NULL OR t > upto").select(part(own).alias("cell"), "chain", "t", F.lit(False).alias("leads"), *more)
     return rest.unionByName(leaders)
 
 
 def _met(most: int):
-    """(x, y, waits) of whole cells: y are the first texts before x in its cells whose chains keep their budgets, ``most`` + 1 at most in a
-    task; and, with y null, the texts of cells that hold more for some x. In a dealt cell those wait that don't lead it."""
+    """(x, y, waits) of whole cells: y are the first texts before x in its cells whose chains (and fingerprints, where rows have them) keep their
+    budgets, ``most`` at most in a task, and x waits if there are more; and, with y null, the texts that are in none of these pairs of cells that hold more for
+    some x. In a dealt cell those wait that don't lead it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table_ in whole_runs(batches, "cell"):
             cell, chain, t = (table_.column(c).to_numpy() for c in ("cell", "chain", "t"))
             leads = table_.column("leads").to_numpy()
             order = np.lexsort((t, ~leads, cell))
+            prints = np.frombuffer(b"".join(table_.column("fp").to_pylist()), "u8").reshape(len(t), -1)[order] if "fp" in table_.column_names else None
             cell, chain, t, leads = cell[order], chain[order], t[order], leads[order]
             start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             size = np.diff(np.r_[start, len(cell)])
             many = np.repeat(size > 1, size)  # most cells have one text
-            chain, t, leads, size = chain[many], t[many], leads[many], size[size > 1]
+            prints = prints if prints is None else prints[many]
+            cell, chain, t, leads, size = cell[many], chain[many], t[many], leads[many], size[size > 1]
             if not len(size):
                 continue
             start = np.cumsum(size) - size
@@ -268,7 +284,10 @@ def _met(most: int):
                 i = i[(rank[i] > f) & (leads[first[i] + f] | ~hot[i])]  # of a dealt cell those that lead it are compared with
                 if not len(i):
                     break
-                hit = i[within((chain[i] ^ chain[first[i] + f]).view("u8"))]
+                x = (chain[i] ^ chain[first[i] + f]).view("u8")
+                hit = i[within(x) & (hot[i] | begins(x, cell[i]))]
+                if prints is not None:
+                    hit = hit[np.bitwise_count(prints[hit] ^ prints[first[hit] + f]).sum(axis=1) <= MOST_BITS]
                 count_[hit] += 1
                 pairs.append((t[hit], t[first[hit] + f]))
                 full = hit[count_[hit] > most]
@@ -278,13 +297,15 @@ def _met(most: int):
             if len(x):
                 x, y = np.unique(np.stack([x, y]), axis=1)
                 new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                few = np.arange(len(x)) - np.repeat(new, np.diff(np.r_[new, len(x)])) <= most
-                x, y = x[few], y[few]
+                n = np.diff(np.r_[new, len(x)])
+                few = np.arange(len(x)) - np.repeat(new, n) < most
+                further = np.repeat(n > most, n)
+                x, y, further = x[few], y[few], further[few]
                 for at in range(0, len(x), 100_000):
                     part = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[part]), pa.array(y[part]), pa.nulls(len(x[part]), pa.bool_())], ["x", "y", "waits"])
-            waits, more = hot & ~leads, np.repeat(over, size)
-            for own, flag in ((np.unique(t[waits]), True), (np.unique(t[more & ~waits]), False)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part]), pa.array(y[part]), pa.array(further[part])], ["x", "y", "waits"])
+            waits, rest = np.unique(t[hot & ~leads]), np.unique(t[np.repeat(over, size)])
+            for own, flag in ((waits, True), (np.setdiff1d(rest, np.concatenate([waits, x, y])), False)):  # those in pairs are known from these
                 for at in range(0, len(own), 100_000):
                     part = own[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(np.full(len(part), flag))], ["x", "y", "waits"])
@@ -292,6 +313,11 @@ def _met(most: int):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Cut, in as many files as there are cores: rows of pairs and ids, small beside the texts."""
+    return cut(df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def _salted(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """left(x, ...) joined with the smaller right on a column of which left may have one hot value."""
     every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")
@@ -305,7 +331,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, si
     both = _salted(pairs.join(texts.select(F.col("t").alias("x"), "fp", "size"), "x"), of_y, "y")
     bits = F.aggregate(F.zip_with("fp", "fp_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
     # the Jaccard similarity is at most the smaller size over the larger one
-    close = cut(both.where(F.least("size", "size_y") >= similarity * F.greatest("size", "size_y")).where(bits <= MOST_BITS).select("x", "y"))
+    close = _few(both.where(F.least("size", "size_y") >= similarity * F.greatest("size", "size_y")).where(bits <= MOST_BITS).select("x", "y"))
     wanted = close.select(F.col("x").alias("t")).unionByName(close.select(F.col("y").alias("t"))).distinct()
     wanted = texts.join(wanted, "t", "left_semi").select("t", F.col("m").alias("doc_id"), F.col("x").alias("d"))
 
@@ -336,12 +362,12 @@ def _settled(alike: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame
     gone = None
     while True:
         stay = alike.select("y").distinct().join(alike.select(F.col("x").alias("y")), "y", "left_anti").join(waiting.select(F.col("t").alias("y")), "y", "left_anti")
-        go = cut(_salted(alike, stay, "y").select(F.col("x").alias("t")).distinct())
+        go = _few(_salted(alike, stay, "y").select(F.col("x").alias("t")).distinct())
         gone = go if gone is None else gone.unionByName(go)
         if go.isEmpty():
             return alike, gone
         left = alike.join(go.withColumnRenamed("t", "x"), "x", "left_anti")
-        alike = cut(_salted(left, go.withColumnRenamed("t", "y"), "y", "left_anti").select("x", "y"))
+        alike = _few(_salted(left, go.withColumnRenamed("t", "y"), "y", "left_anti").select("x", "y"))
 
 
 def gone_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -361,21 +387,22 @@ def gone_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     gone, alike, tested = spark.createDataFrame([], "t long"), spark.createDataFrame([], "x long, y long"), spark.createDataFrame([], "x long, y long")
     left, most = texts.where(F.col("size") > 0), FRONT
     while True:
-        met = cut(_cells(left, 32 * most).repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(most), "x long, y long, waits boolean"))
+        # the first round is of all texts; the few of the others bring their fingerprints along
+        met = cut(_cells(left, 64 * most, most > FRONT).repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(most), "x long, y long, waits boolean"))
         firsts = F.row_number().over(Window.partitionBy("x").orderBy("y"))
-        near = cut(met.where("y IS NOT NULL").select("x", "y").distinct().withColumn("r", firsts).where(F.col("r") <= most + 1))
-        pairs = cut(near.where(F.col("r") <= most).select("x", "y").join(tested, ["x", "y"], "left_anti"))
+        near = _few(met.where("y IS NOT NULL").groupBy("x", "y").agg(F.max("waits").alias("waits")).withColumn("r", firsts).where(F.col("r") <= most + 1))
+        pairs = _few(near.where(F.col("r") <= most).select("x", "y").join(tested, ["x", "y"], "left_anti"))
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
-            alike = cut(alike.unionByName(_alike(pairs, texts, docs, shingle, similarity)))
-        waiting = cut(near.where(F.col("r") > most).select(F.col("x").alias("t")).unionByName(met.where("waits").select(F.col("x").alias("t"))).distinct())
+            alike = _few(alike.unionByName(_alike(pairs, texts, docs, shingle, similarity)))
+        waiting = _few(near.where((F.col("r") > most) | F.col("waits")).select(F.col("x").alias("t")).unionByName(met.where("y IS NULL AND waits").select(F.col("x").alias("t"))).distinct())
         alike, went = _settled(alike, waiting)
-        gone = cut(gone.unionByName(went))
-        waiting = cut(waiting.join(gone, "t", "left_anti"))
+        gone = _few(gone.unionByName(went))
+        waiting = _few(waiting.join(gone, "t", "left_anti"))
         if waiting.isEmpty():
             break
-        held = near.join(waiting.withColumnRenamed("t", "x"), "x", "left_semi").select(F.col("y").alias("t")).unionByName(met.where("y IS NULL").select(F.col("x").alias("t")))
-        left = cut(left.join(held.unionByName(waiting).distinct().join(gone, "t", "left_anti"), "t", "left_semi"))
+        held = met.select(F.col("x").alias("t")).unionByName(met.where("y IS NOT NULL").select(F.col("y").alias("t"))).distinct()
+        left = cut(left.join(held.join(gone, "t", "left_anti"), "t", "left_semi"))
         most *= 4
     lost = texts.join(gone.withColumn("gone", F.lit(True)), "t", "left").select("x", "m", F.coalesce("gone", F.lit(False)).alias("gone"))
     # the largest digest group may hold a third of all rows, so its rows are dealt
@@ -391,7 +418,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     document: all its rows stay, if any of its texts is to stay, or all go.
     """
     name = next(n for k in count() if (n := f"gone_{k}") not in {c.lower() for c in docs.columns})
-    gone = cut(gone_documents(docs, shingle, similarity)).withColumnRenamed("doc_id", name)
+    gone = _few(gone_documents(docs, shingle, similarity)).withColumnRenamed("doc_id", name)
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 

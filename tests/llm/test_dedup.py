@@ -217,8 +217,11 @@ def test_wide_fingerprints_find_pairs_at_the_threshold():
         a, b = rng.integers(0, 1 << 63, n, "u8"), rng.integers(0, 1 << 63, lost, "u8")
         prints = np.stack([simhash.wide_fingerprint(a), simhash.wide_fingerprint(np.r_[a[lost:], b])])
         cell, chain = simhash.ring(prints)
-        found.append(((cell[0] == cell[1]) & simhash.within(chain[0] ^ chain[1])).any() and np.bitwise_count(prints[0] ^ prints[1]).sum() <= simhash.MOST_BITS)
+        found.append(((cell[0] == cell[1]) & simhash.within(chain[0] ^ chain[1]) & simhash.begins(chain[0] ^ chain[1], cell[0].view("i8"))).any() and np.bitwise_count(prints[0] ^ prints[1]).sum() <= simhash.MOST_BITS)
     assert np.mean(found) >= 0.93
+    same = np.repeat(simhash.wide_fingerprint(rng.integers(0, 1 << 63, 50, "u8"))[None], 2, axis=0)
+    cell, chain = simhash.ring(same)
+    assert ((cell[0] == cell[1]) & simhash.begins(chain[0] ^ chain[1], cell[0].view("i8"))).any()
 
 
 def test_keep_one_deals_hot_cells(docs, monkeypatch):

@@ -37,9 +37,9 @@ from .pretokens import chunks
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of a worker's caches, in bytes and in pairs; a full one is emptied. Pre-tokens over LONG characters are not kept.
-CHUNKS, PIECES, PAIRS, LONG = 40 << 20, 20 << 20, 150_000, 64
+CHUNKS, PIECES, PAIRS, LONG = 32 << 20, 16 << 20, 100_000, 64
 #: Bytes of text that are coded at a time, so that a batch of very long ones fits in memory.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

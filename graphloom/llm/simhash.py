@@ -221,8 +221,8 @@ def _rings(texts: DataFrame, whole: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):  # some 2 MB of rows at once
+                part = batch.slice(at, 100)
                 prints = part.column(1).flatten().to_numpy(zero_copy_only=False).view("u8").reshape(part.num_rows, -1)
                 cell, chain = ring(prints)
                 arrays = [pa.array(cell.ravel().view("i8")), pa.array(chain.ravel().view("i8")), pa.array(np.repeat(part.column(0).to_numpy(), n))]

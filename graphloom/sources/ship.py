@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 #: By default a batch is bounded by rows, which says nothing about memory when texts are long.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -160,9 +160,9 @@ class Held(dict):
 class Chunks(Held):
     """What follows a space, up to the next place where a pre-token must start -> its ids as int32 bytes; missing ones are encoded and kept."""
 
-    def __init__(self, encoder: Encoder, pattern: str):
-        super().__init__(CHUNKS)
-        self.encoder, self.split, self.pieces = encoder, regex.compile(pattern).findall, Held(PIECES)
+    def __init__(self, encoder: Encoder, pattern: str, times: int = 1):
+        super().__init__(times * CHUNKS)
+        self.encoder, self.split, self.pieces = encoder, regex.compile(pattern).findall, Held(times * PIECES)
 
     def ids(self, text: str) -> bytes:
         """The ids of a text's pre-tokens, by the pieces known so far."""
@@ -190,8 +190,8 @@ class Chunks(Held):
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str, pattern: str) -> Chunks:
-    return Chunks(Encoder(read_ranks(path)), pattern)
+def _worker(path: str, pattern: str, times: int) -> Chunks:
+    return Chunks(Encoder(read_ranks(path)), pattern, times)
 
 
 def _lists(ids: list[bytes]) -> pa.ListArray:
@@ -202,9 +202,9 @@ def _lists(ids: list[bytes]) -> pa.ListArray:
 IDS = T.ArrayType(T.IntegerType(), False)
 
 
-def code(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", decoded: str | None = "decoded", keep_text: bool = True) -> DataFrame:
+def code(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", decoded: str | None = "decoded", keep_text: bool = True, times: int = 1) -> DataFrame:
     """docs with columns ``out`` array<int>, the ids of the whole text without special tokens, and ``decoded`` binary, the bytes that these ids
-    stand for (None: left out). keep_text=False drops the text."""
+    stand for (None: left out). keep_text=False drops the text. times: the size of a worker's caches, in CHUNKS and PIECES."""
     path = path or public_tokenizers.path(VOCABULARY)
     new = [out, *([decoded] if decoded else [])]
     base = docs.drop(*({*new} - {text}))
@@ -213,7 +213,7 @@ def code(docs: DataFrame, path: str | None = None, pattern: str = public_tokeniz
     at, kept = base.columns.index(text), [base.columns.index(f.name) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _worker(path, pattern)
+        known = _worker(path, pattern, times)
         for whole in batches:
             for batch in steps(whole, at, STEP):
                 ids = [known.text(x.as_py()) if x.is_valid else b"" for x in batch.column(at)]
@@ -250,7 +250,7 @@ def _tokens(path: str) -> dict[int, bytes]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select(
+    return code(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, times=3).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

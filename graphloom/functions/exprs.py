@@ -31,7 +31,7 @@ def cosine(a, b, norm_a=None, norm_b=None) -> Column:
 
 def concepts(text) -> Column:
     """The text's concepts, first occurrence first: space-separated tokens' ASCII letters in lower case, of three or more, without stop words."""
-    tokens = F.transform(F.split(_col(text), " "), lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", "")))
+    tokens = F.split(F.lower(F.regexp_replace(_col(text), "[^A-Za-z ]", "")), " ")  # one pattern for the whole text
     return F.array_distinct(F.filter(tokens, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
 
 
@@ -42,15 +42,33 @@ def fnv1a64(text) -> Column:
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr("1").cast("int") * (F.length(h) / 2).cast("int"))), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
     )
 
-    def step(s, b):
-        x = s["lo"].bitwiseXOR(b)
-        product = x * F.lit(435)
-        low = product.bitwiseAND(F.lit(_MASK))
-        high = s["hi"] * F.lit(435) + F.shiftright(product, 32) + F.shiftleft(x.bitwiseAND(F.lit(0xFFFFFF)), 8)
-        return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("hi"), low.alias("lo"))
+    return F.aggregate(codes, _fnv_start(), lambda s, b: _fnv_step(s["hi"], s["lo"].bitwiseXOR(b)), _joined)
+
+
+def _fnv_start() -> Column:
+    return F.struct(F.lit(_OFFSET_HIGH).cast("long").alias("hi"), F.lit(_OFFSET_LOW).cast("long").alias("lo"))
+
+
+def _fnv_step(hi: Column, lo: Column) -> Column:
+    """The limbs' product with the prime 2^40 + 435."""
+    product = lo * F.lit(435)
+    high = hi * F.lit(435) + F.shiftright(product, 32) + F.shiftleft(lo.bitwiseAND(F.lit(0xFFFFFF)), 8)
+    return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("hi"), product.bitwiseAND(F.lit(_MASK)).alias("lo"))
 
-    start = F.struct(F.lit(_OFFSET_HIGH).cast("long").alias("hi"), F.lit(_OFFSET_LOW).cast("long").alias("lo"))
-    return F.aggregate(codes, start, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
+
+def _joined(s: Column) -> Column:
+    return F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"])
+
+
+def components_hash(*components) -> Column:
+    """One 64-bit hash of several longs, each taken in as a whole: the key of a cached result, or a query's fingerprint."""
+    s = _fnv_start()
+    for c in components:
+        c = _col(c).cast("long")
+        hi, lo = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_MASK))
+        # a one-element fold names the limbs, so that the expression grows with the components and not with their powers
+        s = F.aggregate(F.array(s), s, lambda _, x, hi=hi, lo=lo: _fnv_step(x["hi"].bitwiseXOR(hi), x["lo"].bitwiseXOR(lo)))
+    return _joined(s)
 
 
 def concept_id(text) -> Column:
@@ -102,6 +120,46 @@ def hash_embed(text, size: int = 128) -> Column:
     return F.transform(raw, lambda x: (x / norm).cast("float"))
 
 
+def _bytes_of(content: Column, size: Column) -> Column:
+    """The first ``size`` bytes as numbers."""
+    h = F.hex(F.substring(content, F.lit(1), size))
+    count = (F.length(h) / 2).cast("int")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    return F.when(count == 0, F.expr("cast(array() as array<bigint>)")).otherwise(each)
+
+
+def djb2(text) -> Column:
+    """hash * 33 + byte over the UTF-8 bytes, modulo 2^64, as a signed long; in two limbs, so that nothing overflows."""
+    content = F.encode(_col(text), "UTF-8")
+
+    def step(s, b):
+        low = s["lo"] * F.lit(33) + b
+        return F.struct((s["hi"] * F.lit(33) + F.shiftright(low, 32)).bitwiseAND(F.lit(_MASK)).alias("hi"), low.bitwiseAND(F.lit(_MASK)).alias("lo"))
+
+    start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(5381).cast("long").alias("lo"))
+    return F.aggregate(_bytes_of(content, F.octet_length(content)), start, step, _joined)
+
+
+def text_embed(text, size: int = 128) -> Column:
+    """A deterministic unit vector of the text's features: at each place 0.3 of the byte there, 0.2 of the length in thousands and 0.5 of
+    a number in [-1, 1) that is seeded by the text's hash, within -1 and 1, then normalised. Null for null.
+
+    The numbers are seeded hashes here and not a generator's, so vectors compare among themselves only.
+    """
+    content = F.encode(_col(text), "UTF-8")
+    own = F.transform(F.array(F.struct(djb2(text).alias("seed"), _bytes_of(content, F.lit(size)).alias("b"), (F.octet_length(content) / 1000.0).alias("n"))), lambda x: x)
+
+    def place(x, i):
+        byte = F.coalesce(F.get(x["b"], i) / 255.0, F.lit(0.0))
+        noise = F.xxhash64(x["seed"], i).cast("double") / F.lit(float(1 << 63))
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), byte * 0.3 + x["n"] * 0.2 + noise * 0.5))
+
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    raw = F.aggregate(own, F.expr("cast(array() as array<double>)"), lambda _, x: F.transform(places, lambda i: place(x, i)))
+    unit = F.aggregate(F.array(raw), F.expr("cast(array() as array<float>)"), lambda _, r: F.transform(r, lambda v: (v / l2_norm(r)).cast("float")))
+    return F.when(_col(text).isNotNull(), unit)
+
+
 def code_of(name, codes: dict[str, int], default: int | None = None) -> Column:
     """The code of a name; unknown names get the default, or raise if there is none."""
     out = None
@@ -115,7 +173,7 @@ def register(spark) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION l2_norm(a ARRAY<DOUBLE>) RETURNS DOUBLE RETURN sqrt(aggregate(a, 0D, (s, x) -> s + x * x))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cosine_sim(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN aggregate(a, 0D, (s, x) -> s + x * x) = 0 OR aggregate(b, 0D, (s, x) -> s + x * x) = 0 THEN 0D ELSE aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + x * x) * aggregate(b, 0D, (s, x) -> s + x * x)) END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION concepts(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(filter(transform(split(t, ' '), w -> lower(regexp_replace(w, '[^A-Za-z]', ''))), w -> length(w) >= 3 AND NOT array_contains(array('the', 'and', 'with', 'for', 'are', 'was', 'this', 'that'), w)))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION concepts(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(filter(split(lower(regexp_replace(t, '[^A-Za-z ]', '')), ' '), w -> length(w) >= 3 AND NOT array_contains(array('the', 'and', 'with', 'for', 'are', 'was', 'this', 'that'), w)))")
 
 
 def label_text(label) -> Column:

@@ -115,11 +115,13 @@ def concept_graph(texts: DataFrame, text: str = "content") -> tuple[DataFrame, D
     rows = concept_rows(texts, text).withColumn("cid", concept_id("concept"))
     nodes = rows.groupBy(F.col("cid").alias("id")).agg(F.min("concept").alias("label"))
     held = rows.select(F.col("id").alias("src"), F.col("cid").alias("dst"), F.lit(EDGE_KINDS["related"]).cast("short").alias("kind"))
-    # each concept with the later ones of its own text, within the row
-    per = texts.select("id", F.transform(concepts(F.col(text)), lambda c: concept_id(c)).alias("c"))
-    pairs = per.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> named_struct('a', x, 'b', y))))")).alias("p"))
+    # each concept with the later ones of its own text, a row at a time: a text's pairs are never held together
+    # texts are dealt anew, as pairs are hundreds of times their number and a file's share of texts need not be even
+    per = texts.select("id", F.transform(concepts(F.col(text)), lambda c: concept_id(c)).alias("c")).repartition("id")
+    first = per.select("c", F.posexplode("c").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
     kind = F.lit(EDGE_KINDS["similar_to"]).cast("short").alias("kind")
-    both = pairs.select(F.explode(F.array(F.struct(F.col("p.a").alias("src"), F.col("p.b").alias("dst")), F.struct(F.col("p.b").alias("src"), F.col("p.a").alias("dst")))).alias("e")).select("e.src", "e.dst", kind)
+    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), kind).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), kind))
     return nodes, held.unionByName(both)
 
 

@@ -305,10 +305,9 @@ def memory_recall_text(spark, sf):
     return memory.recall_text(d.memories(spark, sf), "The", 10)
 
 
-@query("SELECT DISTINCT item_id AS id FROM benchmark WHERE list_contains(" + CONCEPTS.format(t="text") + ", 'than')")
+@query("SELECT DISTINCT doc_id AS id FROM documents WHERE list_contains(" + CONCEPTS.format(t="text") + ", 'than')")
 def memory_by_concept(spark, sf):
-    texts = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    return memory.by_concept(memory.concept_rows(texts), "Than.", None)
+    return memory.by_concept(memory.concept_rows(d.memories(spark, sf)), "Than.", None)
 
 
 @query(f"WITH {MEMORIES} SELECT id, content FROM memories ORDER BY id DESC LIMIT 5")
@@ -363,33 +362,37 @@ def concept_counts(spark, sf):
 FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({w}, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
 
 
-@query(f"WITH c AS (SELECT DISTINCT unnest({CONCEPTS.format(t='text')}) AS concept FROM benchmark), h AS (SELECT concept, {FNV.format(w='concept')} AS h FROM c) SELECT concept, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN CAST(h::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(h::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) END AS id FROM h")
+@query(f"WITH c AS (SELECT DISTINCT unnest({CONCEPTS.format(t='text')}) AS concept FROM documents), h AS (SELECT concept, {FNV.format(w='concept')} AS h FROM c) SELECT concept, CASE WHEN h >= 9223372036854775808::UHUGEINT THEN CAST(h::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(h::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) END AS id FROM h")
 def concept_ids(spark, sf):
-    texts = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    return memory.concept_rows(texts).select("concept").distinct().withColumn("id", exprs.concept_id("concept"))
+    return memory.concept_rows(d.memories(spark, sf)).select("concept").distinct().withColumn("id", exprs.concept_id("concept"))
 
 
-@query(f"WITH c AS (SELECT item_id, unnest({CONCEPTS.format(t='text')}) AS concept FROM benchmark) SELECT a.concept AS a, b.concept AS b, count(*) AS texts FROM c a JOIN c b ON a.item_id = b.item_id AND a.concept < b.concept GROUP BY a.concept, b.concept")
+_HELD = f"c AS (SELECT doc_id, unnest({CONCEPTS.format(t='text')}) AS concept FROM documents)"
+
+
+@query(f"WITH {_HELD}, p AS (SELECT a.concept AS concept, b.concept AS other, count(*) AS texts FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.concept <> b.concept GROUP BY a.concept, b.concept) SELECT concept, count(*) AS partners, CAST(sum(texts) AS BIGINT) AS texts FROM p GROUP BY concept")
 def concept_pairs(spark, sf):
-    texts = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    nodes, edges = memory.concept_graph(texts)
-    pairs = edges.where("kind = 4").groupBy("src", "dst").agg(F.count("*").alias("texts"))
-    a, b = nodes.select(F.col("id").alias("src"), F.col("label").alias("a")), nodes.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-    return pairs.join(a, "src").join(b, "dst").where("a < b").select("a", "b", "texts")
+    """Of each concept the number of others that it shares a memory with, and of the edges that this gives."""
+    nodes, edges = memory.concept_graph(d.memories(spark, sf))
+    # edges go both ways; one way is enough to count, before each pair counts for either end
+    pairs = edges.where("kind = 4 AND src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"), "n")
+    per = ends.groupBy("id").agg(F.count("*").alias("partners"), F.sum("n").alias("texts"))
+    return per.join(nodes, "id").select(F.col("label").alias("concept"), "partners", "texts")
 
 
-@query(f"WITH c AS (SELECT item_id, unnest({CONCEPTS.format(t='text')}) AS concept FROM benchmark) SELECT count(DISTINCT item_id) AS memories, count(DISTINCT concept) AS concepts, round(count(*) / count(DISTINCT item_id), 6) AS mean_out_edges FROM c")
+@query(f"WITH {_HELD} SELECT count(DISTINCT doc_id) AS memories, count(DISTINCT concept) AS concepts, round(count(*) / count(DISTINCT doc_id), 6) AS mean_out_edges FROM c")
 def concept_network(spark, sf):
-    texts = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    nodes, edges = memory.concept_graph(texts)
-    every = nodes.select("id").unionByName(edges.where("src >= 0").select(F.col("src").alias("id")).distinct())
-    return graph.concept_network(every, edges).select("memories", "concepts", r6("mean_out_edges").alias("mean_out_edges"))
+    nodes, edges = memory.concept_graph(d.memories(spark, sf))
+    held = graph.by_kind(edges, 2)
+    every = nodes.select("id").unionByName(held.select(F.col("src").alias("id")).distinct())
+    return graph.concept_network(every, held).select("memories", "concepts", r6("mean_out_edges").alias("mean_out_edges"))
 
 
-@query(f"WITH c AS (SELECT item_id, unnest({CONCEPTS.format(t='text')}) AS concept FROM benchmark) SELECT concept AS label FROM c GROUP BY concept HAVING count(*) = count(*) FILTER (item_id % 2 = 0)")
+@query(f"WITH {_HELD} SELECT concept AS label FROM c GROUP BY concept HAVING count(*) = count(*) FILTER (doc_id % 2 = 0)")
 def memory_forget(spark, sf):
     """Concepts that are lost when the memories with even ids are forgotten."""
-    texts = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    texts = d.memories(spark, sf).select("id", "content")
     nodes, edges = memory.concept_graph(texts)
     kept = memory.forget(texts, texts.select("id"), nodes, edges, texts.where("id % 2 = 0").select("id"))[2]
     return nodes.join(kept, "id", "left_anti").select("label")
@@ -405,15 +408,9 @@ def content_sizes(spark, sf):
     return d.memories(spark, sf).select("id", (F.octet_length("content") >= 1024).alias("large"), F.length(F.substring("content", 1, 32)).cast("long").alias("head"))
 
 
-@query("WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS c FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]+')), n AS (SELECT item_id, c, count(*) AS k FROM c GROUP BY item_id, c), t AS (SELECT item_id, sum(k) AS t FROM n GROUP BY item_id) SELECT item_id, round(-sum(k / t * log2(k / t)), 6) AS entropy FROM n JOIN t USING (item_id) GROUP BY item_id")
+@query("WITH b AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark), c AS (SELECT item_id, h[2 * i - 1 : 2 * i] AS c FROM (SELECT item_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM b)), n AS (SELECT item_id, c, count(*) AS k FROM c GROUP BY item_id, c), t AS (SELECT item_id, sum(k) AS t FROM n GROUP BY item_id), e AS (SELECT item_id, round(-sum(k / t * log2(k / t)), 6) AS entropy FROM n JOIN t USING (item_id) GROUP BY item_id) SELECT item_id, CASE WHEN h IS NULL THEN NULL ELSE coalesce(entropy, 0) END AS entropy FROM b LEFT JOIN e USING (item_id)")
 def byte_entropy(spark, sf):
-    ascii_ = d.table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]+$"))
-    return ascii_.select("item_id", r6(exprs.byte_entropy("text")).alias("entropy"))
-
-
-@query()
-def byte_entropy_all(spark, sf):
-    """As byte_entropy, for every row: with accents, empty or null. The SQL of byte_entropy counts characters, so it has ASCII texts only."""
+    """Every row: with accents, empty or null."""
     return d.table(spark, sf, "benchmark").select("item_id", r6(exprs.byte_entropy("text")).alias("entropy"))
 
 

@@ -89,7 +89,7 @@ def test_byte_entropy_of_every_row(spark, tmp_path):
 
     texts = ["plain", "née à Zürich", "日本語 😀", "", None]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.item_id: r.entropy for r in QUERIES["byte_entropy_all"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.entropy for r in QUERIES["byte_entropy"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(5)) and got[4] is None
     for i, t in enumerate(texts[:4]):
         p = np.unique(list(t.encode()), return_counts=True)[1] / max(1, len(t.encode()))

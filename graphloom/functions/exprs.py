@@ -35,13 +35,19 @@ def concepts(text) -> Column:
     return F.array_distinct(F.filter(tokens, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
 
 
+def _symbols(content: Column) -> Column:
+    """The bytes as one character each, in time proportional to their number."""
+    return F.filter(F.split(F.decode(content, "ISO-8859-1"), ""), lambda c: c != "")
+
+
+def _codes(content: Column) -> Column:
+    """The bytes as numbers."""
+    return F.transform(_symbols(content), lambda c: F.ascii(c).cast("long"))
+
+
 def fnv1a64(text) -> Column:
     """The 64-bit FNV-1a hash of the UTF-8 bytes as a signed long; in two limbs, so that nothing overflows."""
-    h = F.hex(F.encode(_col(text), "UTF-8"))
-    codes = F.when(F.length(h) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr("1").cast("int") * (F.length(h) / 2).cast("int"))), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    )
-
+    codes = _codes(F.encode(_col(text), "UTF-8"))
     return F.aggregate(codes, _fnv_start(), lambda s, b: _fnv_step(s["hi"], s["lo"].bitwiseXOR(b)), _joined)
 
 
@@ -60,14 +66,18 @@ def _joined(s: Column) -> Column:
     return F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"])
 
 
+def _taking(c: Column):
+    hi, lo = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_MASK))
+    return lambda _, x: _fnv_step(x["hi"].bitwiseXOR(hi), x["lo"].bitwiseXOR(lo))
+
+
 def components_hash(*components) -> Column:
     """One 64-bit hash of several longs, each taken in as a whole: the key of a cached result, or a query's fingerprint."""
     s = _fnv_start()
     for c in components:
         c = _col(c).cast("long")
-        hi, lo = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_MASK))
         # a one-element fold names the limbs, so that the expression grows with the components and not with their powers
-        s = F.aggregate(F.array(s), s, lambda _, x, hi=hi, lo=lo: _fnv_step(x["hi"].bitwiseXOR(hi), x["lo"].bitwiseXOR(lo)))
+        s = F.aggregate(F.array(s), s, _taking(c))
     return _joined(s)
 
 
@@ -97,11 +107,9 @@ def safe_ratio(a, b) -> Column:
 
 def byte_entropy(text) -> Column:
     """Shannon entropy in bits of a text's bytes: a histogram per row, without explode."""
-    h = F.hex(F.encode(_col(text), "UTF-8"))
-    n = (F.length(h) / 2).cast("int")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-    runs = F.array_sort(pairs)
-    counts = F.transform(F.array_distinct(runs), lambda v: F.array_position(F.reverse(runs), v) * -1 - F.array_position(runs, v) + F.size(runs) + 2)
+    content = F.encode(_col(text), "UTF-8")
+    n = F.octet_length(content)
+    counts = F.transform(F.regexp_extract_all(F.array_join(F.array_sort(_symbols(content)), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)), lambda r: F.length(r))
     return F.when(n == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda s, c: s - (c / n) * F.log2(c / n)))
 
 
@@ -120,24 +128,15 @@ def hash_embed(text, size: int = 128) -> Column:
     return F.transform(raw, lambda x: (x / norm).cast("float"))
 
 
-def _bytes_of(content: Column, size: Column) -> Column:
-    """The first ``size`` bytes as numbers."""
-    h = F.hex(F.substring(content, F.lit(1), size))
-    count = (F.length(h) / 2).cast("int")
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(count == 0, F.expr("cast(array() as array<bigint>)")).otherwise(each)
-
-
 def djb2(text) -> Column:
     """hash * 33 + byte over the UTF-8 bytes, modulo 2^64, as a signed long; in two limbs, so that nothing overflows."""
-    content = F.encode(_col(text), "UTF-8")
 
     def step(s, b):
         low = s["lo"] * F.lit(33) + b
         return F.struct((s["hi"] * F.lit(33) + F.shiftright(low, 32)).bitwiseAND(F.lit(_MASK)).alias("hi"), low.bitwiseAND(F.lit(_MASK)).alias("lo"))
 
     start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(5381).cast("long").alias("lo"))
-    return F.aggregate(_bytes_of(content, F.octet_length(content)), start, step, _joined)
+    return F.aggregate(_codes(F.encode(_col(text), "UTF-8")), start, step, _joined)
 
 
 def text_embed(text, size: int = 128) -> Column:
@@ -147,7 +146,7 @@ def text_embed(text, size: int = 128) -> Column:
     The numbers are seeded hashes here and not a generator's, so vectors compare among themselves only.
     """
     content = F.encode(_col(text), "UTF-8")
-    own = F.transform(F.array(F.struct(djb2(text).alias("seed"), _bytes_of(content, F.lit(size)).alias("b"), (F.octet_length(content) / 1000.0).alias("n"))), lambda x: x)
+    own = F.array(F.struct(djb2(text).alias("seed"), _codes(F.substring(content, 1, size)).alias("b"), (F.octet_length(content) / 1000.0).alias("n")))
 
     def place(x, i):
         byte = F.coalesce(F.get(x["b"], i) / 255.0, F.lit(0.0))

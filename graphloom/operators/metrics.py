@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.exprs import components_hash
+
 #: Upper bounds of the latency buckets in microseconds; the last bucket takes all.
 BUCKETS = (100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000, 100000, 1000000, 10000000)
 
@@ -85,3 +87,8 @@ def gauges(samples: DataFrame) -> DataFrame:
 def json_export(values: DataFrame) -> DataFrame:
     """A JSON line for each row."""
     return values.select(F.to_json(F.struct(*values.columns)).alias("line"))
+
+
+def cache_key(*components) -> Column:
+    """The key of a cached result by what was asked: (vector, k), (node, depth), (node), (src, dst) or (query, parameters)."""
+    return components_hash(*components)

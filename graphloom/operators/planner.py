@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.exprs import components_hash
+
 SCAN, EDGE, VECTOR, LOOKUP, HIT, MISS, SELECTIVITY = 100.0, 150.0, 500.0, 50.0, 10.0, 1000.0, 0.1  # nanoseconds; a share
 
 
@@ -74,3 +76,8 @@ def adapted(queries: DataFrame, initial: float, alpha: float = 0.1) -> DataFrame
     later = F.count("*").over(Window.partitionBy("kind").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
     weighed = queries.select("kind", "duration_us", F.pow(F.lit(1 - alpha), later).alias("w"))
     return weighed.groupBy("kind").agg((F.sum(F.col("duration_us") * F.col("w")) * alpha + F.lit(initial) * F.pow(F.lit(1 - alpha), F.count("*"))).alias("cost"))
+
+
+def query_hash(pattern, selectivity, n) -> Column:
+    """A query's fingerprint: its pattern's code, its selectivity in thousandths and its size in one hash."""
+    return components_hash(_c(pattern), F.floor(_c(selectivity) * 1000), _c(n))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import exprs
-from graphloom.operators import graph, hybrid, memory, metrics, placement, planner, vectors
+from graphloom.operators import custom, graph, hybrid, memory, metrics, placement, planner, vectors
 from graphloom.sources import datasets as d
 from graphloom.sources import store
+from graphloom.sources.ship import ship
 from graphloom.streaming import streams
 
 QUERIES: dict = {}
@@ -729,3 +732,172 @@ def first_contents(spark, sf):
     e = d.table(spark, sf, "events")
     log = e.select(F.col("event_id").alias("seq"), F.lit(3).cast("short").alias("entry_type"), F.struct(F.col("user_id").alias("memory_id"), F.col("event_type").alias("content")).alias("memory"), F.lit(False).alias("deleted"))
     return store.first_contents(log)
+
+
+# ---- functions and operators over whole tables ----
+
+
+def _signed(h: str) -> str:
+    return f"CASE WHEN {h} >= 9223372036854775808::UHUGEINT THEN CAST({h}::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST({h}::HUGEINT AS BIGINT) END"
+
+
+def _components(*parts: str) -> str:
+    h = "14695981039346656037::UHUGEINT"
+    for p in parts:
+        h = f"((xor({h}, ({p})::UHUGEINT) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    return h
+
+
+@query(f"WITH k AS (SELECT o_orderkey AS id, {_components('o_custkey', 'o_orderkey')} AS e, {_components('o_orderkey')} AS n, {_components('o_orderkey % 5', '(o_custkey % 100) * 10', 'o_orderkey')} AS q FROM orders) SELECT id, {_signed('e')} AS edge_key, {_signed('n')} AS node_key, {_signed('q')} AS query_hash FROM k")
+def cache_keys(spark, sf):
+    """Keys of each order's edge, node and query."""
+    o = d.table(spark, sf, "orders").withColumns({"pattern": F.col("o_orderkey") % 5, "selectivity": F.col("o_custkey") % 100 / F.lit(100).cast("decimal(10,0)")})
+    return o.select(F.col("o_orderkey").alias("id"), metrics.cache_key("o_custkey", "o_orderkey").alias("edge_key"), metrics.cache_key("o_orderkey").alias("node_key"), planner.query_hash("pattern", "selectivity", "o_orderkey").alias("query_hash"))
+
+
+@query()
+def text_embedding(spark, sf):
+    """The features of every memory as a vector, and the checksum of its content."""
+    return d.memories(spark, sf).select("id", exprs.text_embed("content").alias("dims"), exprs.checksum("content").alias("checksum"))
+
+
+@query("WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents) SELECT doc_id AS id, CAST(CASE WHEN len(c) = 0 THEN 0 ELSE 1 + len(list_filter(list_zip(c[:-2], c[2:]), lambda p: p[1] <> p[2])) END AS BIGINT) AS runs, CASE WHEN c IS NOT NULL THEN true END AS same FROM c")
+def content_runs(spark, sf):
+    """Run-length coding of every memory, and whether it gives the content back."""
+    m = d.memories(spark, sf).select("id", "content", exprs.runs("content").alias("coded"))
+    return m.select("id", F.size("coded").cast("long").alias("runs"), (exprs.from_runs("coded") == F.col("content")).alias("same"))
+
+
+@query("WITH b AS (SELECT item_id, text, hex(encode(text)) AS h FROM benchmark), c AS (SELECT item_id, h[2 * i - 1 : 2 * i] AS c FROM (SELECT item_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM b)), n AS (SELECT item_id, c, count(*) AS k FROM c GROUP BY item_id, c), t AS (SELECT item_id, sum(k) AS t FROM n GROUP BY item_id), e AS (SELECT item_id, -sum(k / t * log2(k / t)) AS entropy FROM n JOIN t USING (item_id) GROUP BY item_id) SELECT item_id AS id, round(8 / greatest(1, coalesce(entropy, 0)), 6) AS ratio, length(h) // 2 >= 64 AND 8 / greatest(1, coalesce(entropy, 0)) >= 1.9 AS compress FROM b LEFT JOIN e USING (item_id)")
+def content_compression(spark, sf):
+    b = d.table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("id"), r6(exprs.estimated_ratio("text")).alias("ratio"), exprs.should_compress("text", 64, 1.9).alias("compress"))
+
+
+@query("SELECT conv_id AS session_id, turn, CAST(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 3 END AS SMALLINT) AS source FROM conversations")
+def turn_sources(spark, sf):
+    """Names as codes; unknown names get the default."""
+    return d.turns(spark, sf).select("session_id", "turn", exprs.code_of("role", {"user": 0, "assistant": 1}, 3).alias("source"))
+
+
+@query(f"WITH {MEMORIES} SELECT id, session_id, user_id FROM memories WHERE session_id = 3 AND created <= 1700000000 + 36 * 60 AND 1700000000 + id * 61 >= 1700000000 + 31 * 61 AND 1700000000 + id * 61 <= 1700000000 + 38 * 61 ORDER BY id DESC LIMIT 10")
+def memory_query_session(spark, sf):
+    """Session and the predicates on times."""
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    q = memory.MemoryQuery(session_id=3, created_before=at(36 * 60), accessed_after=at(31 * 61), accessed_before=at(38 * 61))
+    return memory.query_memories(d.memories(spark, sf), q).select("id", "session_id", "user_id")
+
+
+@query(f"WITH {MEMORIES}, {_REL} SELECT id, user_id FROM memories WHERE user_id = 3 AND id IN (SELECT unnest([src, dst]) FROM rel WHERE relation = 6) ORDER BY id DESC LIMIT 10")
+def memory_query_relation(spark, sf):
+    """User and relation type."""
+    q = memory.MemoryQuery(user_id=3, relation_types=[6])
+    return memory.query_memories(d.memories(spark, sf), q, relations=d.relations(spark, sf)).select("id", "user_id")
+
+
+@query(f"WITH {_HELD} SELECT documents.doc_id AS id, text AS content, (SELECT string_agg(concept, ', ' ORDER BY concept) FROM c WHERE doc_id = 7) AS related FROM documents WHERE documents.doc_id = 7")
+def memory_recall_id(spark, sf):
+    """One memory with its concepts."""
+    m = d.memories(spark, sf)
+    nodes, edges = memory.concept_graph(m)
+    return memory.recall_by_id(m, nodes, edges, 7)
+
+
+@query(f"WITH {MEMORIES}, n AS (SELECT id + 1000000 AS old, content FROM memories WHERE id % 100 = 0) SELECT count(*) AS memories, max(id) AS last, count(DISTINCT id) AS ids FROM (SELECT id FROM memories UNION ALL SELECT (SELECT max(id) FROM memories) + row_number() OVER (ORDER BY old) FROM n)")
+def memory_store(spark, sf):
+    """Every hundredth memory stored once more, under new ids."""
+    m = d.memories(spark, sf)
+    return memory.store(m, m.where("id % 100 = 0")).agg(F.count("*").alias("memories"), F.max("id").alias("last"), F.countDistinct("id").alias("ids"))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT 'nodes' AS measure, count(*) AS value FROM nodes WHERE id % 7 <> 0 UNION ALL SELECT 'edges', count(*) FROM edges WHERE kind <> 2 UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'memory_contents', count(*) FROM documents")
+def log_fold_state(spark, sf):
+    """State as the fold of a log that adds all tables and then drops every seventh node and the edges of kind 2."""
+    v = d.vectors(spark, sf).select("id", "dims")
+    full = store.State(d.nodes(spark, sf), d.edges(spark, sf), v, d.memories(spark, sf).select(F.col("id").alias("memory_id"), "content"))
+    gone = store.State(full.nodes.where("id % 7 = 0"), full.edges.where("kind = 2"), v.limit(0), full.memory_contents.limit(0))
+    log = store.as_entries(full, 1).unionByName(store.as_entries(gone, 2).withColumn("deleted", F.lit(True)))
+    out = None
+    for name, df in store.fold(log)._asdict().items():
+        row = df.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {NODES}, {EDGES}, r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other) AS rank FROM adj) SELECT id, count(*) AS kept, max(other) AS last FROM r WHERE rank <= 3 GROUP BY id")
+def graph_neighbor_cap(spark, sf):
+    """Each node's three smallest neighbours."""
+    return graph.both_ways(d.edges(spark, sf), 3).groupBy("id").agg(F.count("*").alias("kept"), F.max("other").alias("last"))
+
+
+@query("SELECT s_suppkey AS node_id FROM supplier WHERE s_acctbal < 0 OR s_suppkey * 7 % 50 > 30")
+def members_partitioned(spark, sf):
+    """Suppliers as members, last seen some seconds ago."""
+    s, now = d.table(spark, sf, "supplier"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    seen = F.timestamp_seconds(F.lit(int(now.timestamp())) - F.col("s_suppkey") * 7 % 50)
+    m = s.select(F.col("s_suppkey").alias("node_id"), (F.col("s_acctbal") >= 0).alias("reachable"), seen.alias("last_seen"))
+    return placement.partitioned(m, now, 30).select("node_id")
+
+
+@query(f"WITH {_PLACED}, l AS (SELECT nodes[1] AS node_id, count(*) AS items FROM p GROUP BY 1) SELECT count(*) AS nodes, CAST(sum(items) AS BIGINT) AS items, round(avg(items), 6) AS mean, min(items) AS least, max(items) AS most FROM l")
+def ring_partition_statistics(spark, sf):
+    return placement.partition_statistics(_placed(spark, sf)).select("nodes", "items", r6("mean").alias("mean"), "least", "most")
+
+
+@query(f"WITH {_VERSIONS}, p AS (SELECT ts, greatest(c0, 2) AS m0, greatest(c1, 2) AS m1, greatest(c2, 2) AS m2, c0, c1, c2 FROM v) SELECT ts, m0, m1, m2, c1 + 1 AS ticked, CASE WHEN c0 = 2 AND c1 = 2 AND c2 = 2 THEN 'equal' WHEN c0 >= 2 AND c1 >= 2 AND c2 >= 2 THEN 'after' WHEN c0 <= 2 AND c1 <= 2 AND c2 <= 2 THEN 'before' ELSE 'concurrent' END AS standing FROM p")
+def clock_functions(spark, sf):
+    """Each version's clock merged with and compared with (2, 2, 2), and ticked by node 1."""
+    two = F.create_map(*(x for i in range(3) for x in (F.lit(i).cast("long"), F.lit(2).cast("long"))))
+    v = _versions(spark, sf).select("ts", "clock", placement.clock_merge(F.col("clock"), two).alias("m"), placement.clock_tick("clock", 1).alias("t"), placement.compare_clocks(F.col("clock"), two).alias("standing"))
+    at = lambda c, i: F.element_at(c, F.lit(i).cast("long"))
+    return v.select("ts", *(at("m", i).alias(f"m{i}") for i in range(3)), at("t", 1).alias("ticked"), "standing")
+
+
+@query("SELECT event_id AS id, round(value * CASE event_type WHEN 'view' THEN 1.2 WHEN 'click' THEN 0.8 ELSE 1 END, 6) AS cost, round(1.0::DOUBLE / (value * 0.1::DOUBLE + 0.001::DOUBLE), 6) AS priority FROM events")
+def planner_plan_cost(spark, sf):
+    """Events as plans: views hybrid, clicks custom."""
+    kind = F.when(F.col("event_type") == "view", "hybrid").when(F.col("event_type") == "click", "custom").otherwise("scan")
+    e = d.table(spark, sf, "events").select(F.col("event_id").alias("id"), kind.alias("strategy"), F.col("value").alias("cost"))
+    return e.select("id", r6(planner.plan_cost()).alias("cost"), r6(planner.priority("cost", 0.1)).alias("priority"))
+
+
+@query("SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type")
+def map_reduce_counts(spark, sf):
+    """The caller's own functions over batches, combined before the exchange."""
+
+    def mapper(batch):
+        import pandas as pd
+
+        return pd.DataFrame({"key": batch["event_type"], "value": 1})
+
+    def reducer(own):
+        import pandas as pd
+
+        return pd.DataFrame({"key": own["key"].iloc[:1], "value": [own["value"].sum()]})
+
+    ship(spark)
+    return custom.map_reduce(d.table(spark, sf, "events").select("event_type"), mapper, reducer, "key string, value long", combine=True)
+
+
+@query("SELECT event_id AS id, round(value * 2, 6) AS twice FROM events")
+def batch_processing(spark, sf):
+    def twice(batch):
+        import pandas as pd
+
+        return pd.DataFrame({"id": batch["event_id"], "twice": (batch["value"] * 2).round(6)})
+
+    ship(spark)
+    return custom.process_batches(d.table(spark, sf, "events").select("event_id", "value"), twice, "id long, twice double")
+
+
+@query("SELECT count(*) AS submitted, count(*) FILTER (event_type <> 'error') AS completed, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS completion_rate, round(avg(event_id % 10 + 1) FILTER (event_type <> 'error'), 6) AS mean_us FROM events")
+def pool_statistics(spark, sf):
+    """Events as tasks, of which the errors never ended."""
+    i = F.col("event_id")
+    t = d.table(spark, sf, "events").select((i * 3).alias("started_us"), F.when(F.col("event_type") != "error", i * 3 + i % 10 + 1).alias("ended_us"))
+    return custom.pool_statistics(t, 8).select("submitted", "completed", r6("completion_rate").alias("completion_rate"), r6("mean_us").alias("mean_us"))
+
+
+@query("SELECT '{\"op\":\"' || event_type || '\",\"count\":' || count(*) || '}' AS line FROM events GROUP BY event_type")
+def metrics_json(spark, sf):
+    return metrics.json_export(metrics.counters(d.operations(spark, sf)))

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.lineage import cut
+
 from . import graph, vectors
 
 
@@ -22,7 +24,7 @@ def hybrid(nodes: DataFrame, edges: DataFrame, vecs: DataFrame, start: int, dept
     The k best of all related nodes' k best are the k best of all pairs, and each query's k best hold them, so a blocked search
     per related vector is cut once. dedup keeps each vector once, with its best similarity.
     """
-    related = graph.k_hop(nodes, edges, start, depth).select("id", "depth")
+    related = cut(graph.k_hop(nodes, edges, start, depth).select("id", "depth"))  # the search counts and reads its queries
     sources = vecs.join(related, "id", "left_semi")
     found = vectors.search(vecs, sources, k=k).select("query_id", "id", "similarity")
     if dedup:

@@ -248,7 +248,8 @@ def redact(docs: DataFrame, text: str = "text", accept: float = ACCEPT) -> DataF
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    counts = [F.size(F.filter("base", lambda x, r=r: x["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS)]
+    # as SQL: a lambda's second parameter would be taken for the element's place
+    counts = [F.expr(f"size(filter(base, x -> x.rank = {r}))").cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 

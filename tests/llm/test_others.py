@@ -94,6 +94,21 @@ def test_pii_base_spans(spark, docs, odd):
     assert pii.find(docs([]).limit(0)).isEmpty()
 
 
+def test_pii_query_counts_and_digest(docs, odd, tmp_path):
+    """Counts by kind, wherever among a text's spans those of a kind stand."""
+    texts = ["1.2.3.4", "+1 (555) 555-1234", "4111 1111 1111 1111", "a@b.co c@d.co", "+1 (555) 555-1234, 1.2.3.4 5.6.7.8 a@b.co", "4111-1111-1111-1111 x@y.z 9.9.9.9 +1 555 555 1234 x@y.z"]
+    rows = [*odd, *((100 + i, t) for i, t in enumerate(texts))]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = pii.op9_pii(docs([]).sparkSession, str(tmp_path)).collect()
+
+    def want(doc_id, text):
+        base = brute_spans(text or "")
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        return str(doc_id), *map(kinds.count, pii.KINDS), hashlib.sha256(base.encode()).hexdigest()
+
+    assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == sorted(want(*r) for r in rows)
+
+
 def test_pii_added_spans_and_redaction(docs):
     d = docs([(1, "please call 555-123-4567 now"), (2, "mail me: joe at example dot com ok"), (3, "nothing here at all. dot com"), (4, "to a@b.co and +1 (555) 555-1234!"), *((10 + i, f"write a{i}@b.com or call +1 555 555 12{i}4") for i in range(10))])
     out = {r.doc_id: r for r in pii.redact(d).collect()}

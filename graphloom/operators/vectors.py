@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.exprs import cosine, l2_norm
 from graphloom.sources.lineage import cut
@@ -168,11 +170,47 @@ def k_means(vectors: DataFrame, k: int, iterations: int = CLUSTER_ITERATIONS) ->
     return assign(base, centres).select("id", "cluster"), centres
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The column's vectors as rows in double precision, and which are whole: of that width, all finite. Others are zero rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    whole, flat = sizes == width, column.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    out = np.zeros((len(sizes), width))
+    out[whole] = flat[np.repeat(whole, sizes)].reshape(int(whole.sum()), width)
+    whole &= np.isfinite(out).all(axis=1)
+    out[~whole] = 0
+    return out, whole
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    norm = np.sqrt((rows * rows).sum(axis=1))[:, None]
+    return rows / np.where(norm == 0, 1, norm)
+
+
+def _placed(vectors: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """vectors with ``cluster``, the cosine to its centre ``own`` (not a number if the vector isn't whole) and ``zero``, by matrix products over Arrow batches."""
+    rest = [c for c in vectors.columns if c not in ("cluster", "own", "zero")]
+    source = vectors.select(*rest)
+    width = len(centres[0])
+    units = _units(np.array(centres, "f8"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, whole = _matrix(batch.column(rest.index("dims")), width)
+            # rounded, so that sums in another order don't tell ties apart; the first of equal ones counts
+            s = np.round(_units(x) @ units.T, 12)
+            best = s.argmax(axis=1)
+            own = np.where(whole, s[np.arange(len(s)), best], np.nan)
+            new = [pa.array(best.astype("i4")), pa.array(own, from_pandas=False), pa.array(whole & ~x.any(axis=1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*rest, "cluster", "own", "zero"])
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("own", T.DoubleType()), T.StructField("zero", T.BooleanType())]))
+
+
 def assign(vectors: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
-    """vectors with the cluster of the most similar centre."""
-    similar = [F.struct(F.round(cosine("dims", _literal(c)), 12).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centres)]
-    best = F.greatest(*similar) if len(similar) > 1 else similar[0]
-    return vectors.withColumn("cluster", -best["i"])
+    """vectors with the cluster of the most similar centre (the first, for vectors that aren't whole)."""
+    return _placed(vectors, centres).drop("own", "zero")
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
@@ -195,7 +233,7 @@ class Ivf:
         # centres are fitted to at most ``sample`` vectors (those of the smallest hashes); every vector is indexed
         fitted = vectors.orderBy(F.xxhash64("id"), "id").limit(sample)
         self.centres = k_means(cut(fitted), cells, iterations)[1]
-        self.rows = cut(assign(vectors, self.centres).select("id", "dims", "cluster"))
+        self.rows = cut(_placed(vectors.select("id", "dims"), self.centres)) if self.centres else vectors.select("id", "dims", F.lit(0).alias("cluster"), F.lit(0.0).alias("own"), F.lit(True).alias("zero"))
 
     def stats(self) -> DataFrame:
         return self.rows.groupBy("cluster").agg(F.count("*").alias("vectors"))
@@ -204,27 +242,51 @@ class Ivf:
         """(query_id, id, similarity, rank), each query itself left out before the cut to k.
 
         The nearest ``probes`` cells come first. A further cell is searched unless the angles say that none of its vectors can
-        beat the k-th found so far, so that the result is that of a search of every cell.
+        beat the k-th found so far, so that the result is that of a search of every cell. A cell's vectors meet the queries that
+        probe it in blocks, by a matrix product. Vectors that hold null or non-finite components are near to nothing.
         """
         similar = F.array(*(F.struct(cosine("dims", _literal(c)).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)))
         near = F.slice(F.sort_array(similar, asc=False), 1, probes)
-        asked = queries.select(F.col("id").alias("query_id"), F.col("dims").alias("query"), near.alias("near"), similar.alias("similar"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+        asked = cut(queries.select(F.col("id").alias("query_id"), F.col("dims").alias("query"), near.alias("near"), similar.alias("similar")))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
+        q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+        # as many blocks of data in each cell as it needs: a number for each cell
+        sizes = {r.cluster: r.vectors for r in self.stats().collect()}
+        d_blocks = F.element_at(F.array(*(F.lit(max(1, -(-sizes.get(i, 0) // DATA_BLOCK))) for i in range(len(self.centres) or 1))), F.col("cluster") + 1)
+        deal = lambda c, of: F.pmod(F.xxhash64(c), of).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+        data = self.rows.select("id", "dims", "cluster", deal("id", d_blocks).alias("d"), every(F.lit(q_blocks)).alias("q"))
+        keys, width = ("cluster", "d", "q"), len(self.centres[0]) if self.centres else 0
+
+        def cell(rows: pa.Table, asks: pa.Table) -> pa.Table:
+            (b, whole_b), (a, whole_a) = _matrix(rows.column("dims"), width), _matrix(asks.column("query"), width)
+            ids, b = rows.column("id").to_numpy()[whole_b], _units(b[whole_b])
+            own, a = asks.column("query_id").to_numpy()[whole_a], _units(a[whole_a])
+            found = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))]
+            for at in range(0, len(a) if len(b) else 0, 256):
+                exact, mine = a[at : at + 256] @ b.T, own[at : at + 256]
+                s = np.where(mine[:, None] == ids, -np.inf, np.round(exact, 12))
+                least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(s), -np.inf)
+                r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                order = np.lexsort((ids[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k  # the k first of each query
+                found.append((mine[r[first]], ids[c[first]], exact[r[first], c[first]]))
+            return pa.table(dict(zip(("query_id", "id", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
         def best(asks: DataFrame, also: DataFrame | None = None) -> DataFrame:
-            pairs = asks.join(self.rows, "cluster").where("id <> query_id").select("query_id", "id", cosine("query", "dims").alias("similarity"))
-            every = pairs if also is None else pairs.unionByName(also)
-            return every.withColumn("rank", rank).where(F.col("rank") <= k)
+            dealt = asks.select("query_id", "query", "cluster", every(d_blocks).alias("d"), deal("query_id", F.lit(q_blocks)).alias("q"))
+            pairs = data.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(cell, "query_id long, id long, similarity double")
+            return (pairs if also is None else pairs.unionByName(also)).withColumn("rank", rank).where(F.col("rank") <= k)
 
         first = cut(best(asked.select("query_id", "query", F.explode(F.transform("near", lambda x: x["i"])).alias("cluster"))).drop("rank"))
         floor = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
         rest = asked.select("query_id", "query", F.explode(F.array_except("similar", "near")).alias("c")).select("query_id", "query", F.col("c.i").alias("cluster"), F.col("c.s").alias("s"))
         # no vector of a cell is nearer to the query than the angle to its centre less the cell's widest angle
-        own = F.element_at(F.array(*(cosine("dims", _literal(c)) for c in self.centres)), F.col("cluster").cast("int") + 1)
-        widest = self.rows.groupBy("cluster").agg(F.max(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), own)))).alias("wide"), F.max(l2_norm("dims") == 0).alias("zeros"))
+        widest = self.rows.groupBy("cluster").agg(F.max(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("own") - 1e-11)))).alias("wide"), F.max("zero").alias("zeros"))
         angle = F.greatest(F.lit(0.0), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s")))) - F.col("wide"))
         open_ = F.col("floor").isNull() | F.col("zeros") | F.isnan("wide") | (F.col("s") == 0) | (F.cos(angle) + 1e-9 >= F.col("floor"))
-        further = rest.join(widest, "cluster").join(floor, "query_id", "left").where(open_).select("query_id", "query", "cluster")
+        further = rest.join(F.broadcast(widest), "cluster").join(floor, "query_id", "left").where(open_).select("query_id", "query", "cluster")  # a row for each cell
         return best(further, first)
 
 

@@ -94,3 +94,27 @@ def test_byte_entropy_of_every_row(spark, tmp_path):
     for i, t in enumerate(texts[:4]):
         p = np.unique(list(t.encode()), return_counts=True)[1] / max(1, len(t.encode()))
         assert got[i] == pytest.approx(-(p * np.log2(p)).sum(), abs=1e-6)
+
+
+def test_ann_meets_in_blocks(spark, monkeypatch):
+    """Cells of several blocks, copies, zero, null and non-finite vectors: the brute force's rows, and no row for a pair that isn't among a block's best."""
+    monkeypatch.setattr(vectors, "DATA_BLOCK", 40)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 8)).round(2)
+    x[100:160] = x[0]
+    x[200] = 0
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)]
+    rows += [(500, None), (501, [float("nan")] * 8), (502, [None] * 8), (503, [float("inf")] + [1.0] * 7)]
+    v = spark.createDataFrame(rows, "id long, dims array<double>")
+    index = vectors.Ivf(v, cells=8)
+    assert index.stats().agg(F.sum("vectors")).first()[0] == 504
+    found = index.search(v.where("id % 50 = 0"), 10)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    s = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(s, -9)
+    want = {(q, int(i), n + 1) for q in range(0, 500, 50) for n, i in enumerate(np.lexsort((np.arange(500), -s[q]))[:10])}
+    assert {(r.query_id, r.id, r["rank"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroups" in plan and "id <> query_id" not in plan and "NOT (id" not in plan
+    assert index.search(v.where("id < 0"), 10).isEmpty()

@@ -68,6 +68,30 @@ def test_cache_key(spark):
     assert [tuple(r) for r in got] == [(key(a, b), key(a)) for a, b in rows]
 
 
+def test_concept_partners(spark, monkeypatch, tmp_path):
+    """The degrees of the concept graph, in many cells, without a row for each pair."""
+    from graphloom.plans.queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}x" for a in "abcdefghij" for b in "abcdefghij"]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 40, 150)] + ["same words here"] * 50 + ["alone"] * 3 + [None, "", "of it", "abx only once"]
+    for held in (memory.HELD, 300):
+        monkeypatch.setattr(memory, "HELD", held)
+        m = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+        out = memory.concept_partners(m)
+        of, n = {}, {}
+        for t in texts:
+            own = set((t or "").split()) - {"of", "it"}
+            for w in own:
+                of[w], n[w] = of.get(w, set()) | own - {w}, n.get(w, 0) + len(own) - 1
+        assert sorted(map(tuple, out.collect())) == sorted((w, len(s), n[w]) for w, s in of.items() if s)
+    assert memory.concept_partners(m.limit(0)).isEmpty()
+    docs = m.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert "slice(" not in QUERIES["concept_pairs"](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
 def test_concept_graph(spark):
     """Memories without concepts, with one, repeated, and null ones."""
     m = spark.createDataFrame([(1, "Red fox runs"), (2, "red FOX"), (3, "fox"), (4, ""), (5, None), (6, "of it")], "id long, content string")

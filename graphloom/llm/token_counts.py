@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup, without any shuffle of pre-tokens.
 
 Tier 1 is a compact hash table of frequent pre-tokens' lengths (in tokens), broadcast. It holds at most ``FREQUENT`` pre-tokens, which are
-chosen from a random sample of about ``SAMPLE`` texts of all documents, counted in at most ``TASKS`` tasks that return ``TOP`` each; so the
-driver gets at most TASKS x TOP entries whatever the input. The table only saves time: counts never depend on it. Tier 2 is a
+chosen by counts over every text of all documents, made in at most ``TASKS`` tasks that return ``TOP`` each; so the driver gets at most
+TASKS x TOP entries whatever the input. The table only saves time: counts never depend on it. Tier 2 is a
 cache in each worker, bounded by bytes and kept from task to task: pre-tokens that are in neither tier are encoded by the tokenizer's library,
 each once, many at once.
 
@@ -33,8 +33,8 @@ from .common import steps, table
 
 VOCABULARY = "byte_bpe_50k.json"
 FREQUENT, LIMIT = 65_536, 512
-#: The sample of tier 1: texts, tasks, and entries that each task returns, from ``SUMMARY`` counters at most. Bytes of tier 2, and of text that is looked up at once.
-SAMPLE, TASKS, TOP, SUMMARY, CACHE, STEP = 20_000, 256, 4_096, 65_536, 64 << 20, 4 << 20
+#: The counts for tier 1: tasks, and entries that each task returns, from ``SUMMARY`` counters at most. Bytes of tier 2, and of text that is looked up at once.
+TASKS, TOP, SUMMARY, CACHE, STEP = 256, 4_096, 65_536, 64 << 20, 4 << 20
 #: Characters whose class (letter, number, white space, other) is stable over Unicode versions: up to U+024F, dashes and quotes, currency.
 _PLAIN = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁞₠-₿]")
 
@@ -94,9 +94,7 @@ def _cache(path: str) -> Cache:
 
 
 def frequent(docs: DataFrame, path: str, text: str = "text") -> list[str]:
-    """The most frequent pre-tokens of a sample of the texts: at most FREQUENT."""
-    total = docs.count()
-    sample = docs.select(text) if total <= SAMPLE else docs.select(text).sample(SAMPLE / total, 17)
+    """The most frequent pre-tokens of all texts: at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = splitter(path), Counter()
@@ -111,7 +109,7 @@ def frequent(docs: DataFrame, path: str, text: str = "text") -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
     counts: Counter = Counter()
-    for r in sample.coalesce(TASKS).mapInArrow(run, "piece string, n long").collect():
+    for r in docs.select(text).coalesce(TASKS).mapInArrow(run, "piece string, n long").collect():
         counts[r.piece] += r.n
     return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]
 

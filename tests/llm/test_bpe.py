@@ -62,6 +62,14 @@ def test_token_counts(spark, docs, odd):
     assert token_counts.count(docs([]).limit(0)).isEmpty()
 
 
+def test_frequent_pretokens_come_from_every_text(spark):
+    """A word that stands in one of 30,000 texts only, but often, is among the frequent ones; and so whichever text it is."""
+    path = P.path(token_counts.VOCABULARY)
+    for at in (7, 15_000, 29_999):
+        many = spark.range(30_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.col("id") == at, F.repeat(F.lit(" zyxw"), 500)).otherwise("a b").alias("text"))
+        assert " zyxw" in token_counts.frequent(many, path)
+
+
 def test_caches_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(bpe, "CHUNKS", 20_000)
     known = bpe.Chunks(bpe.Encoder(bpe.read_ranks(P.path(bpe.VOCABULARY))), P.PATTERN)

@@ -376,7 +376,7 @@ _HELD = f"c AS (SELECT doc_id, unnest({CONCEPTS.format(t='text')}) AS concept FR
 @query(f"WITH {_HELD}, p AS (SELECT a.concept AS concept, b.concept AS other, count(*) AS texts FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.concept <> b.concept GROUP BY a.concept, b.concept) SELECT concept, count(*) AS partners, CAST(sum(texts) AS BIGINT) AS texts FROM p GROUP BY concept")
 def concept_pairs(spark, sf):
     """Of each concept the number of others that it shares a memory with, and of the edges that this gives."""
-    return memory.concept_partners(d.memories(spark, sf))
+    return memory.concept_partners(d.table(spark, sf, "documents"), "text")  # memories' contents; nothing else of them is asked for
 
 
 @query(f"WITH {_HELD} SELECT count(DISTINCT doc_id) AS memories, count(DISTINCT concept) AS concepts, round(count(*) / count(DISTINCT doc_id), 6) AS mean_out_edges FROM c")

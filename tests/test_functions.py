@@ -92,6 +92,25 @@ def test_concept_partners(spark, monkeypatch, tmp_path):
     assert "slice(" not in QUERIES["concept_pairs"](spark, str(tmp_path))._jdf.queryExecution().toString()
 
 
+def test_concept_partners_writes_each_concept_once(spark, monkeypatch):
+    """What is shuffled stays in proportion to the texts, however many blocks meet."""
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}xyz" for a in "abcdefghij" for b in "abcdefghij" for c in "abc"]
+    texts = [" ".join(rng.choice(words, 80, replace=False)) for _ in range(400)]
+    m = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    gateway = spark.sparkContext._gateway
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(memory, "HELD", 2000)
+    before = written()
+    assert memory.concept_partners(m).count() == len(words)
+    assert written() - before < 8 * sum(map(len, texts))
+
+
 def test_concept_graph(spark):
     """Memories without concepts, with one, repeated, and null ones."""
     m = spark.createDataFrame([(1, "Red fox runs"), (2, "red FOX"), (3, "fox"), (4, ""), (5, None), (6, "of it")], "id long, content string")
